@@ -109,4 +109,4 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM b
 """
 
-ORACLES: dict[str, str] = {"op5_ngram_jaccard": _OP5.replace("\\", "\"), "op8_quality_rules": _OP8.replace("\\", "\")}
+ORACLES: dict[str, str] = {"op5_ngram_jaccard": _OP5, "op8_quality_rules": _OP8}
