@@ -12,6 +12,7 @@ keeps the rounds few for long runs of one character.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -71,8 +72,8 @@ FROM state JOIN (SELECT w, max(round) AS round FROM state GROUP BY w) USING (w,
 """
 
 _DECODE = """
-SELECT d, string_agg(b, '' ORDER BY i) AS bytes
-FROM (SELECT d, i, id FROM positions) JOIN tokens USING (id) GROUP BY d
+SELECT d, array_to_string(list(b ORDER BY i), '') AS bytes
+FROM positions JOIN tokens USING (id) GROUP BY d
 """
 
 
@@ -108,6 +109,7 @@ class Codec:
         self.db.register("given", tokens)
         self.db.execute("CREATE TABLE tokens AS SELECT * FROM given")
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.decimal = np.array([str(i) for i in range(max(ranks.values()) + 1)], object)
         self.known: dict[str, bytes] = {}
         self.spaced: dict[str, bytes | None] = {}
 
@@ -197,10 +199,14 @@ def _with_codec(spark: SparkSession, path: str, pattern: str, work: Callable[[Co
         if key not in _CODECS:
             _CODECS[key] = Codec(*given.value, pattern)
         codec = _CODECS[key]
-        for batch in batches:
-            values = batch.column(column).to_pylist()
-            for a, b in _runs([x if x is not None else "" for x in values]):
-                yield work(codec, batch, a, b, values[a:b])
+        gc.disable()  # nothing here makes cycles, and collections would walk the millions of cached pieces
+        try:
+            for batch in batches:
+                values = batch.column(column).to_pylist()
+                for a, b in _runs([x if x is not None else "" for x in values]):
+                    yield work(codec, batch, a, b, values[a:b])
+        finally:
+            gc.enable()
 
     return run
 
@@ -258,7 +264,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
     def work(codec, batch, a, b, texts):
         found = codec.encode([x or "" for x in texts])
         back = codec.decode(found)
-        hashed = [hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in found]
+        hashed = [hashlib.sha256(",".join(codec.decimal[x].tolist()).encode()).hexdigest() for x in found]
         columns = [batch.column(i)[a:b] for i in range(batch.num_columns) if i != 1]
         return pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in found], pa.int64()), pa.array(hashed), pa.array([hashlib.sha256(x).hexdigest() for x in back])], ["doc_id", *keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
