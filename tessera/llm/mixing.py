@@ -22,7 +22,7 @@ from tessera.llm.shared import materialize
 #: The mixture is a list that the driver holds; more sources than this are refused.
 MOST_SOURCES = 100_000
 #: Rows of a bucket in which the running word count is made; shards that one row of the plan stands for.
-BUCKET_ROWS, SHARDS_TOGETHER = 5000, 64
+BUCKET_ROWS, SHARDS_TOGETHER = 500, 64
 
 
 def targets(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
@@ -124,10 +124,11 @@ class Mix:
     def taken(self) -> DataFrame:
         """One row per document: doc_id, source, size, source_size, target, taken (words of its blocks in the mix)."""
         uses = self.slots.groupBy("src", "block").agg(F.count("*").alias("uses"))
-        took = self.spans.join(uses, ["src", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+        # merge hints: the planner cannot know how many rows the draws make and would broadcast them
+        took = self.spans.join(uses.hint("merge"), ["src", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
         spark = self.rows.sparkSession
         about = spark.createDataFrame([(i, s["size"], s["target"]) for i, s in enumerate(self.sources)], "src int, source_size bigint, target double")
-        return self.rows.join(took, "row", "left").join(F.broadcast(about), "src", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+        return self.rows.join(took.hint("merge"), "row", "left").join(F.broadcast(about), "src", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 32, shard_slots: int = 4096, seed: int = 9, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> Mix:
@@ -149,11 +150,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     blocks = [-(-n // block_words) for n in sizes]
     quota = [min(round(t * b / n), int(most * b)) if n else 0 for t, b, n in zip(goal, blocks, sizes, strict=True)]
     sources = [{"name": x["source"], "size": n, "target": t, "blocks": b, "quota": q} for x, n, t, b, q in zip(names, sizes, goal, blocks, quota, strict=True)]
-    index = spark.createDataFrame([(x["source"], i) for i, x in enumerate(names)], "name string, src int")
+    index = spark.createDataFrame([(x["source"], i, max(1, x["n"] // BUCKET_ROWS)) for i, x in enumerate(names)], "name string, src int, buckets bigint")
     rows = found.join(F.broadcast(index), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     # where each document begins among its source's words: within its bucket, and the buckets before it
-    buckets = max(1, sum(x["n"] for x in names) // BUCKET_ROWS)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "buckets")).drop("buckets")
     sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("all")).withColumn("start", F.expr("sum(all) over (partition by src order by bucket) - all")).drop("all")
     placed = rows.withColumn("at", F.expr("sum(size) over (partition by src, bucket order by xxhash64(doc_id, 1), doc_id, size, row rows between unbounded preceding and current row) - size"))
     placed = placed.join(sums, ["src", "bucket"]).where("size > 0").withColumn("at", F.col("at") + F.col("start"))
