@@ -73,9 +73,9 @@ def f01_symbol_search(symbols):
     return I.symbol_search(symbols, "a", 50)
 
 
-@query("SELECT symbol_key, name, kind, relative_path, line FROM symbols WHERE contains(name, '1') AND NOT regexp_matches(relative_path, '(site-packages|build|dist|venv)/') ORDER BY relative_path, line, name LIMIT 50", "symbols")
+@query("SELECT symbol_key, name, kind, relative_path, line FROM symbols WHERE contains(name, 'e') AND NOT regexp_matches(relative_path, '(site-packages|build|dist|venv)/') ORDER BY relative_path, line, name LIMIT 50", "symbols")
 def f03_implementations(symbols):
-    return I.symbol_search(symbols.where(F.contains("name", F.lit("1")) & ~F.regexp_like("relative_path", F.lit("(site-packages|build|dist|venv)/"))), "", 50)
+    return I.symbol_search(symbols.where(F.contains("name", F.lit("e")) & ~F.regexp_like("relative_path", F.lit("(site-packages|build|dist|venv)/"))), "", 50)
 
 
 @query("SELECT to_symbol, count(*) AS n FROM edges WHERE regexp_matches(to_symbol, '(?i)(_|[.]|::|#)101$') GROUP BY to_symbol", "edges")
