@@ -16,16 +16,17 @@ def query_terms(query: str) -> list[str]:
     return sorted({x.lower() for x in re.findall(TOKEN, query)})
 
 
-def _count(tokens: str, term: str):
-    return F.size(F.filter(tokens, lambda x: x == term))
+def _count(text, term: str):
+    """Tokens of the text equal to the term, ignoring ASCII case."""
+    return F.regexp_count(text, F.lit(f"(?i)(?<![0-9a-zA-Z_]){term}(?![0-9a-zA-Z_])"))
 
 
 def bm25(docs: DataFrame, query: str, text: str, key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of the rows that hold a term of the query. The statistics are one row; only the query's terms
     leave the scan, already counted."""
     terms = query_terms(query)
-    tokens = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), F.lower)
-    t = docs.select(key, tokens.alias("tokens")).select(key, F.size("tokens").alias("len"), *(_count("tokens", w).alias(f"tf{i}") for i, w in enumerate(terms)))
+    body = F.coalesce(text, F.lit(""))
+    t = docs.select(key, F.regexp_count(body, F.lit(TOKEN)).alias("len"), *(_count(body, w).alias(f"tf{i}") for i, w in enumerate(terms)))
     stats = t.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     t = t.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
