@@ -109,4 +109,43 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM b
 """
 
-ORACLES: dict[str, str] = {"op5_ngram_jaccard": _OP5, "op8_quality_rules": _OP8}
+
+
+def _op1() -> str:
+    """Positions as in the operator: lengths between matches and of matches, summed."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = [
+        f"SELECT doc_id, {i} AS k, '{r.kind}' AS kind, regexp_extract_all(text, {quoted(r.pattern)}, 0) AS m, regexp_extract_all(text, {quoted(r.pattern)}, {r.group}) AS v, string_split_regex(text, {quoted(r.pattern)}) AS g, {r.least} AS least FROM d"
+        for i, r in enumerate(secrets.RULES)]
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), x AS ({" UNION ALL ".join(parts)}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM x WHERE len(m) > 0),
+s AS (SELECT doc_id, k, kind, list_sum(list_transform(g[:i], lambda y: length(y))) + list_sum(list_transform(m[:i], lambda y: length(y))) AS e, length(m[i]) AS n FROM i WHERE length(v[i]) >= least),
+t AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS a, count(*) FILTER (WHERE k = 1) AS b, count(*) FILTER (WHERE k = 2) AS c,
+  string_agg(kind || ':' || (e - n)::BIGINT || ':' || e::BIGINT, ',' ORDER BY e - n, k) FILTER (WHERE k < 3) AS base, string_agg(kind || ':' || (e - n)::BIGINT || ':' || e::BIGINT, ',' ORDER BY e - n, k) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
+def _op2() -> str:
+    """Every block against every template, without filters."""
+    rows = ", ".join(f"('{t.label}', '{t.kind}', {[*licenses._tokens(t.text)]})" for t in licenses.TEMPLATES)
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    places = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM p WHERE " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) for phrase, label in licenses.PHRASES)
+    return f"""
+WITH t(label, kind, tokens) AS (VALUES {rows}), d AS (SELECT doc_id, lower(coalesce(text, '')) AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '{word}') AS w FROM d),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+f AS (SELECT doc_id, count(*) AS n, min(place) AS low, max(place) AS high, list(DISTINCT label) AS labels FROM ({places}) GROUP BY doc_id),
+l AS (SELECT doc_id, i, regexp_extract_all(lines[i], '{word}') AS words FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM w))),
+g AS (SELECT doc_id, i, words, count(*) FILTER (WHERE len(words) = 0) OVER (PARTITION BY doc_id ORDER BY i) AS par FROM l),
+b AS (SELECT doc_id, 'line' AS kind, words FROM l WHERE len(words) > 0 UNION ALL SELECT doc_id, 'paragraph', flatten(list(words)) FROM g WHERE len(words) > 0 GROUP BY doc_id, par),
+m AS (SELECT doc_id, label, len(list_intersect(list_distinct(words), tokens)) / len(tokens) AS c, len(list_intersect(list_distinct(words), tokens)) * 10 >= len(tokens) * 8 AS ok FROM b JOIN t USING (kind)),
+s AS (SELECT doc_id, list(DISTINCT label) AS more, max(c) AS c FROM m WHERE ok GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, low AS first_word, high AS last_word, array_to_string(list_sort(coalesce(labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(more, [])))), ',') AS labels, CASE WHEN n > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score
+FROM w LEFT JOIN f USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+
+ORACLES: dict[str, str] = {"op1_secret_scan": _op1(), "op2_license_scan": _op2(), "op5_ngram_jaccard": _OP5, "op8_quality_rules": _OP8}
