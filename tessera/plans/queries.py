@@ -340,3 +340,162 @@ def r15_alert_buckets(jobs):
 sum(CASE WHEN role = 'assistant' THEN len(string_split(coalesce(text, ''), chr(10))) ELSE 0 END)::BIGINT AS read_lines FROM conversations GROUP BY conv_id)""", "conversations")
 def r19_session_metrics(conversations):
     return I.session_metrics(conversations)
+
+
+# --- point lookups, counts and trailing statistics
+
+
+@query("SELECT doc_id, enrich_state, size_bytes FROM files WHERE repo_root = '/ws/src2' AND relative_path = 'app/core/es/doc_42.md'", "files")
+def s15_point_lookup(files):
+    return files.where("repo_root = '/ws/src2' and relative_path = 'app/core/es/doc_42.md'").select("doc_id", "enrich_state", "size_bytes")
+
+
+@query("SELECT repo_root, relative_path, is_deleted FROM files WHERE scope_repo_root = '/ws' AND relative_path LIKE 'src/en/%' ORDER BY is_deleted, doc_id DESC LIMIT 10", "files")
+def s16_scope_candidates(files):
+    return files.where("scope_repo_root = '/ws' and startswith(relative_path, 'src/en/')").orderBy("is_deleted", F.desc("doc_id")).limit(10).select("repo_root", "relative_path", "is_deleted")
+
+
+@query("SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS lines, array_to_string(string_split(text, chr(10))[3:5], chr(10)) AS part FROM files WHERE NOT is_deleted", "files")
+def s18_line_range(files):
+    lines = F.split("text", "\n")
+    return files.where("not is_deleted").select("doc_id", F.size(lines).cast("bigint").alias("lines"), F.array_join(F.slice(lines, 3, 3), "\n").alias("part"))
+
+
+@query("SELECT language, round(n * w, 6)::DOUBLE AS score FROM (SELECT CASE lower(regexp_extract(relative_path, '(\\.[^./]+)$', 1)) WHEN '.py' THEN 'python' WHEN '.java' THEN 'java' ELSE 'other' END AS language, count(*) AS n FROM files GROUP BY 1) JOIN (VALUES ('python', 1.2), ('java', 1.5)) v(language, w) USING (language) ORDER BY score DESC LIMIT 2", "files")
+def s27_language_ranking(files):
+    weights = files.sparkSession.createDataFrame([("python", 1.2), ("java", 1.5)], "language string, w double")
+    n = files.groupBy(C.language_of(F.col("relative_path")).alias("language")).agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(weights), "language").select("language", F.round(F.col("n") * F.col("w"), 6).alias("score")).orderBy(F.desc("score")).limit(2)
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE scope_repo_root = '/ws') AS in_scope FROM files WHERE NOT is_deleted", "files")
+def g04_live_counts(files):
+    return files.where("not is_deleted").agg(F.count("*").alias("n"), F.count_if(F.col("scope_repo_root") == "/ws").alias("in_scope"))
+
+
+@query("SELECT enrich_state = 'TOOL_READY' AS ready, count(*) AS n FROM files GROUP BY 1", "files")
+def g15_readiness(files):
+    return files.groupBy((F.col("enrich_state") == "TOOL_READY").alias("ready")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_type, round(avg(latency_ms) FILTER (WHERE user_id % 2 = 0), 6) AS a, round(avg(latency_ms) FILTER (WHERE user_id % 2 = 1), 6) AS b,
+round(avg(latency_ms) FILTER (WHERE user_id % 2 = 1) - avg(latency_ms) FILTER (WHERE user_id % 2 = 0), 6) AS delta FROM jobs GROUP BY 1""", "jobs")
+def g25_case_deltas(jobs):
+    a, b = (F.avg(F.when(F.col("user_id") % 2 == i, F.col("latency_ms"))) for i in (0, 1))
+    return jobs.groupBy("event_type").agg(F.round(a, 6).alias("a"), F.round(b, 6).alias("b"), F.round(b - a, 6).alias("delta"))
+
+
+@query("""WITH m AS (SELECT event_type, avg(latency_ms) FILTER (WHERE user_id % 2 = 0) AS base, avg(latency_ms) FILTER (WHERE user_id % 2 = 1) AS cand FROM jobs GROUP BY 1)
+SELECT event_type, floor((cand - base) * 10000 / base)::BIGINT AS bps, (cand - base) * 10000 / base > 500 AS fails FROM m""", "jobs")
+def g27_regression_bps(jobs):
+    base, cand = (F.avg(F.when(F.col("user_id") % 2 == i, F.col("latency_ms"))) for i in (0, 1))
+    bps = (cand - base) * 10000 / base
+    return jobs.groupBy("event_type").agg(F.floor(bps).cast("bigint").alias("bps"), (bps > 500).alias("fails"))
+
+
+@query("""SELECT lang, count(*) AS n, round(100.0 * count(*) FILTER (WHERE enrich_state = 'TOOL_READY') / count(*), 6)::DOUBLE AS available_pct, 100.0 * count(*) FILTER (WHERE enrich_state = 'TOOL_READY') / count(*) >= 98 AS passes FROM files GROUP BY lang""", "files")
+def g30_language_matrix(files):
+    pct = 100.0 * F.count_if(F.col("enrich_state") == "TOOL_READY") / F.count("*")
+    return files.groupBy("lang").agg(F.count("*").alias("n"), F.round(pct.cast("double"), 6).alias("available_pct"), (pct >= 98).alias("passes"))
+
+
+@query("""SELECT doc_id, CASE WHEN d >= 0.3 THEN 'upgrade' ELSE 'keep' END AS decision, edges FROM (SELECT f.doc_id, l.quality * 0.5 AS d, coalesce(e.n, 0) AS edges FROM files f JOIN labels l ON l.doc_id = f.doc_id
+LEFT JOIN (SELECT line, count(*) AS n FROM edges GROUP BY line) e ON e.line = f.doc_id % 7 WHERE NOT f.is_deleted)""", "files", "labels", "edges")
+def j02_upgrade_candidates(files, labels, edges):
+    grouped = edges.groupBy("line").agg(F.count("*").alias("edges"))
+    t = files.where("not is_deleted").join(labels, "doc_id").withColumn("line", F.col("doc_id") % 7).join(grouped, "line", "left")
+    return t.select("doc_id", F.when(F.col("quality") * 0.5 >= 0.3, "upgrade").otherwise("keep").alias("decision"), F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
+@query("SELECT content_hash, CASE WHEN count(DISTINCT repo_root) = 1 THEN min(repo_root) END AS root FROM files WHERE NOT is_deleted GROUP BY 1", "files")
+def j05_effective_root(files):
+    return files.where("not is_deleted").groupBy("content_hash").agg(F.when(F.countDistinct("repo_root") == 1, F.min("repo_root")).alias("root"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')", "orders", "customer")
+def j08_integrity(orders, customer):
+    return orders.select("o_orderkey", "o_custkey").join(customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_anti")
+
+
+@query("SELECT name, min(symbol_key) AS symbol_key FROM (SELECT name || ':' || line % 997 AS name, symbol_key FROM symbols) GROUP BY name HAVING count(DISTINCT symbol_key) = 1", "symbols")
+def w10_name_map(symbols):
+    from tessera.operators.merge import unambiguous
+
+    return unambiguous(symbols.withColumn("name", F.concat("name", F.lit(":"), F.col("line") % 997)), "name", "symbol_key")
+
+
+@query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM jobs GROUP BY 1", "jobs")
+def w19_coalesce_changes(jobs):
+    from tessera.operators.merge import coalesce_changes
+
+    return coalesce_changes(jobs.select("user_id", "event_id", "event_type", F.col("event_id").alias("seq")), ["user_id"], "seq").drop("seq")
+
+
+@query("SELECT event_id, ts FROM jobs WHERE status = 'DEAD' ORDER BY ts DESC, event_id DESC LIMIT 40", "jobs")
+def w21_prune_events(jobs):
+    from tessera.operators.merge import prune
+
+    return prune(jobs.where("status = 'DEAD'"), F.lit(True), 40, F.desc("ts"), F.desc("event_id")).select("event_id", "ts")
+
+
+@query("""SELECT doc_id, CASE WHEN b.doc_id IS NULL THEN 'upsert' WHEN a.doc_id IS NULL THEN 'delete' ELSE 'upsert' END AS change FROM (SELECT doc_id, size_bytes FROM files WHERE doc_id % 5 <> 0) a FULL JOIN (SELECT doc_id, size_bytes + (doc_id % 3 = 0)::INT AS size_bytes FROM files WHERE doc_id % 7 <> 0) b USING (doc_id)
+WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.size_bytes <> b.size_bytes""", "files")
+def w27_sync_plan(files):
+    from tessera.operators.merge import sync_plan
+
+    found = files.where("doc_id % 5 <> 0").select("doc_id", "size_bytes")
+    indexed = files.where("doc_id % 7 <> 0").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")).alias("size_bytes"))
+    return sync_plan(found, indexed, ["doc_id"], ["size_bytes"])
+
+
+@query("""SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, count(*) AS lists FROM (SELECT doc_id, row_number() OVER (ORDER BY size_bytes DESC, doc_id) AS rank FROM (SELECT * FROM files ORDER BY size_bytes DESC, doc_id LIMIT 30)
+UNION ALL SELECT doc_id, row_number() OVER (ORDER BY content_hash, doc_id) FROM (SELECT * FROM files ORDER BY content_hash, doc_id LIMIT 30)) GROUP BY doc_id""", "files")
+def k02_rrf(files):
+    slim = files.select("doc_id", "size_bytes", "content_hash")
+    a = S.ranked(S.top(slim, 30, F.desc("size_bytes"), "doc_id"), "rank", F.desc("size_bytes"), "doc_id")
+    b = S.ranked(S.top(slim, 30, "content_hash", "doc_id"), "rank", "content_hash", "doc_id")
+    return S.fuse_rrf([a, b], "doc_id").withColumn("rrf", F.round("rrf", 9))
+
+
+@query("""WITH h AS (SELECT to_symbol, count(DISTINCT repo_root || '::' || coalesce(caller_relative_path, relative_path)) AS n FROM edges GROUP BY 1), t AS (SELECT * FROM h ORDER BY n DESC, to_symbol LIMIT 100)
+SELECT to_symbol, n AS fan_in, round(CASE WHEN max(n) OVER () > min(n) OVER () THEN (n - min(n) OVER ()) / (max(n) OVER () - min(n) OVER ()) ELSE 0 END::DOUBLE, 6) AS norm, round(ln(1 + n), 6) AS log_norm FROM t""", "edges")
+def n05_normalised(edges):
+    t = S.fan_in(edges).orderBy(F.desc("fan_in"), "to_symbol").limit(100)
+    return t.select("to_symbol", "fan_in", F.round(S.minmax("fan_in").cast("double"), 6).alias("norm"), F.round(F.log1p("fan_in"), 6).alias("log_norm"))
+
+
+@query("SELECT repo_root, lang, min(doc_id) AS first_seen, count(*) AS n FROM files GROUP BY 1, 2", "files")
+def n08_stable_groups(files):
+    return files.groupBy("repo_root", "lang").agg(F.min("doc_id").alias("first_seen"), F.count("*").alias("n"))
+
+
+@query("""WITH t AS (SELECT user_id, latency_ms, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n FROM jobs WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, round(sum(pow(0.8, n - i) * CASE WHEN i = 1 THEN 1.0 ELSE 0.2 END * latency_ms), 6) AS ema FROM t GROUP BY 1""", "jobs")
+def n09_ema(jobs):
+    from tessera.operators.merge import ema
+
+    return ema(jobs, "user_id", "event_id", "latency_ms").withColumn("ema", F.round("ema", 6))
+
+
+@query("SELECT to_symbol, from_symbol, 'lsp' AS origin, line FROM edges WHERE confidence >= 0.05 UNION ALL SELECT to_symbol, from_symbol, 'semantic', line FROM edges e WHERE confidence < 0.05 AND NOT EXISTS (SELECT 1 FROM edges x WHERE x.to_symbol = e.to_symbol AND x.confidence >= 0.05)", "edges")
+def h05_callers_by_source(edges):
+    strong, weak = edges.where("confidence >= 0.05"), edges.where("confidence < 0.05")
+    rest = weak.join(strong.select("to_symbol").distinct(), "to_symbol", "left_anti")
+    pick = lambda df, name: df.select("to_symbol", "from_symbol", F.lit(name).alias("origin"), "line")
+    return pick(strong, "lsp").unionByName(pick(rest, "semantic"))
+
+
+@query("SELECT event_type, CASE event_type WHEN 'error' THEN 'FATAL' ELSE 'RECOVERABLE' END AS severity, count(*) AS n FROM jobs GROUP BY 1, 2", "jobs")
+def k15_error_severity(jobs):
+    return jobs.groupBy("event_type", F.when(F.col("event_type") == "error", "FATAL").otherwise("RECOVERABLE").alias("severity")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS title, len(regexp_extract_all(html, '<p>'))::BIGINT AS paragraphs FROM pages", "pages")
+def e02_page_outline(pages):
+    return pages.select("page_id", F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("title"), F.regexp_count("html", F.lit("<p>")).cast("bigint").alias("paragraphs"))
+
+
+@query("""SELECT doc_id, lang, max(CASE WHEN n <= 128 THEN n END) AS kept FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM files) WHERE n <= 128 GROUP BY 1, 2""", "files")
+def r21_bundle_items(files):
+    w = Window.partitionBy("lang").orderBy("doc_id")
+    return files.select("doc_id", "lang", F.row_number().over(w).cast("bigint").alias("kept")).where("kept <= 128")
