@@ -34,7 +34,7 @@ BASE_RULES = (Rule("few_words", "n_words < 50"), Rule("repeats", "100 * n_repeat
 RULES = BASE_RULES + (
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words"),
     Rule("symbols", "2 * n_symbols > n_words"),
-    Rule("dup_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule("dup_lines", "100 * n_dup_lines > 60 * n_lines"),
     Rule("letters", "2 * regexp_count(text, '[\\\\p{L}]') < word_chars"),
     Rule("capitals", "2 * regexp_count(text, '[\\\\p{Lu}]') > word_chars"),
     Rule("bullets", "100 * size(filter(words, x -> x in ('-', '*', '•', '|'))) > 40 * n_words"),
@@ -53,23 +53,23 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_symbols": F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("bigint"),
         "n_lines": F.size("__lines").cast("bigint"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint"),
-        "__windows": F.expr("case when n_words < 4 then array() else transform(sequence(0, cast(n_words as int) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])) end"),
+        "__windows": F.expr("transform(array(words), w -> case when size(w) < 4 then array() else transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) end)[0]"),
     })
     return t.withColumn("n_repeat_words", F.expr(_REPEATS).cast("bigint")).drop("__lines", "__windows")
 
 
-# let-bindings: transform(array(x), x -> ...)[0] evaluates x once
+# let-bindings: transform(array(x), x -> ...)[0] evaluates x once, also where the optimizer inlines x into a filter
 # twice: the window hashes that occur twice or more; at: positions of such windows in order; each covers up to three words.
 _COVERED = "aggregate(zip_with({at}, slice({at}, 2, size({at})), (a, b) -> least(3, coalesce(b - a, 3))), 0, (s, x) -> s + x)"
-_FEW = "filter(transform(__windows, (h, i) -> if(array_contains(twice, h), i, null)), i -> i is not null)"
+_FEW = "filter(transform(g, (h, i) -> if(array_contains(twice, h), i, null)), i -> i is not null)"
 # beyond some distinct repeats, sort (hash, position) pairs and keep those equal to a neighbour
-_MANY = """transform(array(array_sort(transform(__windows, (h, i) -> struct(h, i)))), s ->
+_MANY = """transform(array(array_sort(transform(g, (h, i) -> struct(h, i)))), s ->
   array_sort(filter(zip_with(zip_with(s, slice(s, 2, size(s)), (a, b) -> struct(a.h as h, a.i as i, coalesce(a.h = b.h, false) as n)),
     concat(array(cast(null as struct<h:bigint,i:int>)), s), (a, b) -> if(a.n or coalesce(a.h = b.h, false), a.i, null)), i -> i is not null)))[0]"""
-_REPEATS = f"""case when size(array_distinct(__windows)) = size(__windows) then 0 else
-  transform(array(transform(array(sort_array(__windows)), s ->
+_REPEATS = f"""transform(array(__windows), g -> case when size(array_distinct(g)) = size(g) then 0 else
+  transform(array(transform(array(sort_array(g)), s ->
       array_distinct(filter(zip_with(s, slice(s, 2, size(s)), (a, b) -> if(a = b, a, null)), h -> h is not null)))[0]), twice ->
-    transform(array(if(size(twice) <= 64, {_FEW}, {_MANY})), found -> {_COVERED.format(at="found")})[0])[0] end"""
+    transform(array(if(size(twice) <= 64, {_FEW}, {_MANY})), found -> {_COVERED.format(at="found")})[0])[0] end)[0]"""
 
 
 def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:

@@ -103,7 +103,7 @@ f AS (SELECT doc_id, text, w, len(w) AS n_words, length(array_to_string(w, ''))
   len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM w JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 2 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines
+  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 2 * n_symbols > n_words OR 100 * n_dup_lines > 60 * n_lines
     OR 2 * len(regexp_extract_all(text, '\p{L}')) < word_chars OR 2 * len(regexp_extract_all(text, '\p{Lu}')) > word_chars
     OR 100 * len(list_filter(w, lambda x: x IN ('-', '*', '•', '|'))) > 40 * n_words) AS kept
 FROM b
