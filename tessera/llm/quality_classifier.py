@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textkernels
 
-#: Rows that the scorer is fitted on, about; the width of the hashed features; words of a text that it hashes count by frequency.
+#: Distinct texts that the scorer is fitted on, at most about; the width of the hashed features; words of a text that it hashes count by frequency.
 SAMPLE_ROWS, WIDTH = 6000, 1 << 12
 LABELLERS = ("symbols", "capitals", "adjacent_repeats", "distinct_words", "bare_symbols", "exclamations", "short_words")
 GOOD, BAD, NONE = 1, 0, 2
@@ -183,7 +183,7 @@ class QualityModel:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> QualityModel:
     """Vote patterns cover all documents (their number is bounded by the labellers); only the scorer's fit is on a sample,
-    of about `sample_rows` rows drawn by a hash of the text."""
+    of at most about `sample_rows` distinct texts drawn by a hash."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     patterns = texts.mapInArrow(_vote, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     code = np.array([x["pattern"] for x in patterns], np.int64)
@@ -204,7 +204,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[order])) for x in (index.astype(np.int32), value)]
                 yield pa.RecordBatch.from_arrays([pa.array(label), *lists], ["label", "index", "value"])
 
-    chosen = texts.where(F.abs(keep) <= part).mapInArrow(sampled, "label double, index array<int>, value array<float>").toArrow()
+    # a hash picks all copies of a text or none, so copies become one row before they are read
+    distinct = texts.where(F.abs(keep) <= part).dropDuplicates(["text"])
+    chosen = distinct.mapInArrow(sampled, "label double, index array<int>, value array<float>").toArrow()
     if not len(chosen):
         return QualityModel(np.zeros(WIDTH + 1), chance, prior)
     index, value = (chosen.column(c).combine_chunks() for c in ("index", "value"))
