@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import index as I
 from tessera.operators import search as S
-from tessera.sources.tables import read_table, view, with_views
+from tessera.plans import lifecycle  # noqa: F401 (registers its queries)
+from tessera.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 NOW = "timestamp_ntz '1996-06-30 00:00:00'"
 
 
-def query(sql: str | None, *tables: str):
-    """Registers f(*tables) under its name; a table is a view of the model or a file."""
-
-    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        from tessera.sources.tables import VIEWS
-
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*(view(spark, sf_dir, t) if t in VIEWS else read_table(spark, sf_dir, t) for t in tables))
-        if sql:
-            ORACLES[f.__name__] = with_views(sql)
-        return f
-
-    return wrap
-
-
 @query("SELECT doc_id, relative_path, ((length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3)::BIGINT AS score FROM files WHERE NOT is_deleted AND contains(lower(text), 'the') ORDER BY doc_id LIMIT 50", "files")
 def s07_substring_scan(files):
     return I.substring_scan(files, "the", 50)

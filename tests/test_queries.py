@@ -4,6 +4,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tessera.plans.queries import ORACLES, QUERIES
@@ -24,7 +25,7 @@ def rows(df):
     df = df[sorted(df.columns)]
 
     def plain(v):
-        if v is None or isinstance(v, float) and math.isnan(v):
+        if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
             return "null"
         return f"{v:.6g}" if isinstance(v, float) else str(v)
 
@@ -32,7 +33,7 @@ def rows(df):
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_duckdb(spark, duck, name):
     ours, theirs = QUERIES[name](spark, SF).toPandas(), duck.sql(ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
