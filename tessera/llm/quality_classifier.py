@@ -183,7 +183,8 @@ class QualityModel:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> QualityModel:
     """Vote patterns cover all documents (their number is bounded by the labellers); only the scorer's fit is on a sample,
-    of at most about `sample_rows` distinct texts drawn by a hash."""
+    of about `sample_rows` distinct texts (all, if there are fewer) drawn by a hash. The rate follows the number of
+    distinct texts, so copies do not thin the sample out."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     patterns = texts.mapInArrow(_vote, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     code = np.array([x["pattern"] for x in patterns], np.int64)
@@ -191,8 +192,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     power = 3 ** np.arange(len(LABELLERS))
     good, chance, prior = estimate(code[:, None] // power % 3, counts)
     posterior = dict(zip(code.tolist(), good.tolist(), strict=True))
-    keep = F.xxhash64("text") % 1_000_003
-    part = int(min(1_000_003, 1_000_003 * sample_rows / max(counts.sum(), 1)))
+    parts = 1_000_003
+    keep = F.abs(F.xxhash64("text") % parts)
+    n_distinct = texts.agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).first()["n"]
+    part = int(min(parts, parts * sample_rows / max(n_distinct, 1)))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,8 +208,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
                 yield pa.RecordBatch.from_arrays([pa.array(label), *lists], ["label", "index", "value"])
 
     # a hash picks all copies of a text or none, so copies become one row before they are read
-    distinct = texts.where(F.abs(keep) <= part).dropDuplicates(["text"])
-    chosen = distinct.mapInArrow(sampled, "label double, index array<int>, value array<float>").toArrow()
+    def draw(part: int) -> pa.Table:
+        distinct = texts.where(keep <= part).dropDuplicates(["text"])
+        return distinct.mapInArrow(sampled, "label double, index array<int>, value array<float>").toArrow()
+
+    chosen = draw(part)
+    while not len(chosen) and n_distinct and part < parts:  # a small sample can miss every text
+        part = min(parts, 8 * part + 1)
+        chosen = draw(part)
     if not len(chosen):
         return QualityModel(np.zeros(WIDTH + 1), chance, prior)
     index, value = (chosen.column(c).combine_chunks() for c in ("index", "value"))

@@ -81,6 +81,20 @@ def test_classifier_takes_odd_rows(spark):
     assert quality_classifier.classify(frame(spark, [])).count() == 0
 
 
+def test_classifier_does_not_depend_on_copies(spark):
+    rng = random.Random(5)
+    good = [" ".join(rng.choice(("the", "of", "garden", "house", "stands", "near", "river", "is", "old", "and", "quiet")) for _ in range(40)) + f" item {i}" for i in range(4)]
+    junk = [" ".join(rng.choice(("$$$", "###", "BUY", "NOW", "!!!", "***")) for _ in range(40)) + f" {i}" for i in range(4)]
+    few = frame(spark, [(i, x, "") for i, x in enumerate(good + junk)]).select("doc_id", "text")
+    many = few.crossJoin(spark.range(25000).select(F.lit(1).alias("copy")))
+    for docs in (few, many):
+        model = quality_classifier.train(docs)
+        assert model.weights.any()
+        kept = {r["doc_id"] for r in model.score(few).where("quality_score >= 0.5").collect()}
+        assert kept == {0, 1, 2, 3}
+    assert quality_classifier.train(few, sample_rows=1).weights.any()
+
+
 def test_expectation_maximisation_finds_accuracies():
     rng = np.random.default_rng(0)
     truth = rng.random(20000) < 0.8
