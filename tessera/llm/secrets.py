@@ -33,13 +33,22 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),  # a run of 24 or more; shorter runs would be dropped and free no other match
 )
+_BREAK = r"""(?:[\x20\t\r\n>|,"']+-?|(?:\\[nr])+[\x20\t]*)"""  # between lines of a key: white space, quoting and diff marks, escaped line ends
+_CODE = "[A-Za-z0-9+/=]"
+#: A private key up to its END line, with no other line of five dashes between. Without an END: its header fields, then
+#: all runs of 16 or more base64 characters, each after a break, then one shorter line (with its line end, unless = ends it). Groups repeat a bounded number of times,
+#: as Java matches them by recursion; 400 lines hold more than any key (sixteen is spelled out: RE2 bounds nested repetitions).
+_PEM = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,100}-{5,9}END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|(?:{_BREAK}(?:Proc-Type|DEK-Info):[^\r\n\\]*){{0,4}}(?:{_BREAK}{_CODE * 16}{_CODE}*){{1,400}}(?:{_BREAK}[A-Za-z0-9+/]{{1,15}}(?:={{1,2}}|[\r\n\"']|\\[nr]|\z))?)?"
+)
 EXTRA_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", _PEM),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("prefixed", r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,})"),
 )
 RULES = BASE_RULES + EXTRA_RULES
-RULE_VERSION = "1"
+RULE_VERSION = "2"
 
 _FINDING = "array<struct<start:bigint,rule:int,end:bigint>>"
 
