@@ -105,15 +105,22 @@ def symbol_search(symbols: DataFrame, query: str, limit: int) -> DataFrame:
     return symbols.where(hit).orderBy("relative_path", "line", "name").limit(limit).select("symbol_key", "name", "kind", "relative_path", "line")
 
 
-def symbol_depth(symbols: DataFrame, rounds: int = 8) -> DataFrame:
-    """Length of the parent chain; parents that are not in the table end it. Each round is a join by key."""
-    depth = symbols.select("symbol_key", F.lit(0).cast("bigint").alias("depth"))
-    parents = symbols.select(F.col("symbol_key").alias("k"), F.col("parent_key").alias("next"))
-    step = symbols.select("symbol_key", F.col("parent_key").alias("at"))
-    for _ in range(rounds):
-        step = step.join(parents, F.col("at") == F.col("k")).select("symbol_key", F.col("next").alias("at"))
-        depth = depth.unionByName(step.select("symbol_key", F.lit(1).cast("bigint").alias("depth")))
-    return depth.groupBy("symbol_key").agg(F.sum("depth").alias("depth"))
+def symbol_depth(symbols: DataFrame) -> DataFrame:
+    """Length of the parent chain; parents that are not in the table end it, a chain that runs into a cycle has none (null).
+    Each round is a join by key that doubles the steps taken, so the rounds follow the logarithm of the longest chain."""
+    from tessera.llm.shared import materialize
+
+    known = symbols.select(F.col("symbol_key").alias("at")).distinct()
+    links = symbols.select("symbol_key", F.col("parent_key").alias("at")).join(known.withColumn("steps", F.lit(1).cast("bigint")), "at", "left")
+    steps = F.coalesce("steps", F.lit(0).cast("bigint")).alias("steps")
+    walk = materialize(links.select("symbol_key", F.when(F.col("steps") == 1, F.col("at")).alias("at"), steps), "depth")
+    most, taken = walk.select("symbol_key").distinct().count(), 1
+    while taken <= most and not walk.where("at is not null").isEmpty():
+        further = walk.select(F.col("symbol_key").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"))
+        ahead = walk.where("at is not null").join(further, "at").select("symbol_key", F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps"))
+        walk = materialize(walk.where("at is null").unionByName(ahead).groupBy("symbol_key", "at").agg(F.max("steps").alias("steps")), "depth")
+        taken *= 2
+    return walk.groupBy("symbol_key").agg(F.when(F.count("at") == 0, F.max("steps")).alias("depth"))
 
 
 def containers(symbols: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,24 +66,74 @@ def sync_plan(found: DataFrame, indexed: DataFrame, keys: list[str], state: list
 def greedy_match(predicted: DataFrame, golden: DataFrame, by: str, tolerance: int = 2, field_tolerance: int = 512) -> DataFrame:
     """Per file, one-to-one matches of equal names within a line tolerance: golden symbols in order of line each take
     the best free prediction (10 for the same kind, plus the tolerance less the gap; ties: the smaller line).
-    Both: by, name, kind, line. Returns by, tp, fp, fn. The greedy order is sequential within a file."""
-
-    def match(key: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        free: dict[str, list[tuple[int, str]]] = {}
-        for x in p.sort_values(["line", "kind"]).itertuples():
-            free.setdefault(x.name, []).append((x.line, x.kind))
-        hits = 0
-        for x in g.sort_values(["line", "kind"]).itertuples():
-            most = field_tolerance if x.kind == "field" else tolerance
-            open_ = [(10 * (k == x.kind) + most - abs(n - x.line), -n, (n, k)) for n, k in free.get(x.name, ()) if abs(n - x.line) <= most]
-            if open_:
-                free[x.name].remove(max(open_)[2])
-                hits += 1
-        return pd.DataFrame({by: [key[0]], "tp": [hits], "fp": [len(p) - hits], "fn": [len(g) - hits]})
-
-    columns = [by, "name", "kind", "line"]
-    kind = predicted.schema[by].dataType.simpleString()
-    return predicted.select(*columns).groupBy(by).cogroup(golden.select(*columns).groupBy(by)).applyInPandas(match, f"{by} {kind}, tp bigint, fp bigint, fn bigint")
+    Both: by, name, kind, line. Returns by, tp, fp, fn. Symbols without a line match nothing.
+
+    Matches never cross names, nor a gap in a name's lines above the larger tolerance: these runs are matched each in
+    order, with no more in memory than the lines within the tolerance of one another; equal symbols are counted first."""
+    reach = max(tolerance, field_tolerance)
+    key = [by, "name"]
+    side = lambda df, p, g: df.select(*key, "kind", F.col("line").cast("bigint").alias("line"), F.lit(p).alias("p"), F.lit(g).alias("g"))
+    rows = side(predicted, 1, 0).unionAll(side(golden, 0, 1)).groupBy(*key, "kind", "line").agg(F.sum("p").alias("p"), F.sum("g").alias("g"))
+    w = Window.partitionBy(*key).orderBy("line")
+    gap = F.col("line") - F.lag("line").over(w)
+    rows = rows.withColumn("far", F.coalesce((gap > reach).cast("int"), F.lit(0))).withColumn("run", F.sum("far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = rows.select(*key, "run", "line", "kind", "p", "g").repartition(*key, "run").sortWithinPartitions(*key, "run", "line", F.col("kind").asc_nulls_last())
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, free = None, deque(), {}  # golden (line, kind, count, most) in order; line -> kind -> predictions
+
+        def settle(before: int | None) -> int:
+            """Matches of the waiting symbols that no line from `before` on can reach."""
+            hits = 0
+            while waiting and (before is None or waiting[0][0] + waiting[0][3] < before):
+                line, kind, left, most = waiting.popleft()
+                near = range(line - most, line + most + 1) if 2 * most < len(free) else [n for n in free if abs(n - line) <= most]
+                open_ = [(10 * (k == kind) + most - abs(n - line), -n, k is not None, k or "", n, k) for n in near for k in free.get(n, ())]
+                for *_, n, k in sorted(open_, key=lambda x: x[:4], reverse=True):
+                    take = min(left, free[n][k])
+                    hits, left = hits + take, left - take
+                    free[n][k] -= take
+                    if not free[n][k]:
+                        del free[n][k]
+                    if not free[n]:
+                        del free[n]
+                    if not left:
+                        break
+            return hits
+
+        for batch in batches:
+            totals: dict = {}
+            for file, name, run, line, kind, p, g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (file, name, run):
+                    if now:
+                        totals.setdefault(now[0], [0, 0, 0])[0] += settle(None)
+                    now = (file, name, run)
+                    free.clear()
+                total = totals.setdefault(file, [0, 0, 0])
+                total[1] += p
+                total[2] += g
+                if line is None:
+                    continue
+                total[0] += settle(line)
+                low = (waiting[0][0] if waiting else line) - reach
+                if len(free) > 4 * reach + 2:
+                    for n in [n for n in free if n < low]:
+                        del free[n]
+                if p:
+                    free.setdefault(line, {})[kind] = p
+                if g:
+                    waiting.append((line, kind, g, field_tolerance if kind == "field" else tolerance))
+            yield out(totals)
+        if now:
+            yield out({now[0]: [settle(None), 0, 0]})
+
+    def out(totals: dict) -> pa.RecordBatch:
+        columns = zip(*totals.values(), strict=True) if totals else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(list(totals), kinds), *(pa.array(c, pa.int64()) for c in columns)], ["file", "tp", "np", "ng"])
+
+    kinds = to_arrow_type(predicted.schema[by].dataType)
+    found = ordered.mapInArrow(matched, f"file {predicted.schema[by].dataType.simpleString()}, tp bigint, np bigint, ng bigint")
+    return found.groupBy(F.col("file").alias(by)).agg(F.sum("tp").alias("tp"), F.sum(F.col("np") - F.col("tp")).alias("fp"), F.sum(F.col("ng") - F.col("tp")).alias("fn"))
 
 
 def decode_bytes(rows: DataFrame, column: str, encodings: tuple[str, ...] = ("utf-8", "cp949", "latin-1")) -> DataFrame:

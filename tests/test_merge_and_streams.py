@@ -1,7 +1,9 @@
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
+from tessera.operators import index as I
 from tessera.operators import merge as M
 from tessera.streaming import changes
 
@@ -28,6 +30,32 @@ def test_greedy_match(spark):
     assert got == {"a": (2, 1, 1), "b": (1, 0, 0), "c": (0, 0, 1)}
 
 
+def test_greedy_match_in_bounded_groups(spark):
+    rng = random.Random(3)
+    kinds = ("field", "class", "function")
+    draw = lambda n: [(rng.choice("ab"), rng.choice("xy"), rng.choice(kinds), rng.choice((rng.randrange(60), rng.randrange(6000)))) for _ in range(n)]
+    p, g = draw(500), draw(500)
+    hits = {"a": 0, "b": 0}
+    free = list(p)
+    for f, name, kind, line in sorted(g, key=lambda x: (x[3], x[2])):
+        most = 512 if kind == "field" else 2
+        near = [x for x in free if x[:2] == (f, name) and abs(x[3] - line) <= most]
+        if near:
+            free.remove(max(near, key=lambda x: (10 * (x[2] == kind) + most - abs(x[3] - line), -x[3], x[2])))
+            hits[f] += 1
+    schema = "f string, name string, kind string, line int"
+    found = M.greedy_match(spark.createDataFrame(p, schema), spark.createDataFrame(g, schema), "f")
+    size = lambda rows, f: sum(x[0] == f for x in rows)
+    assert {tuple(r) for r in found.collect()} == {(f, n, size(p, f) - n, size(g, f) - n) for f, n in hits.items()}
+    assert "FlatMapCoGroups" not in found._jdf.queryExecution().toString()
+
+
+def test_depth_of_long_chains(spark):
+    rows = [(f"s{i}", f"s{i - 1}" if i else "gone") for i in range(40)] + [("p", "q"), ("q", "p"), ("r", "p"), ("t", None)]
+    got = {r["symbol_key"]: r["depth"] for r in I.symbol_depth(spark.createDataFrame(rows, "symbol_key string, parent_key string")).collect()}
+    assert got == {f"s{i}": i for i in range(40)} | {"p": None, "q": None, "r": None, "t": 0}
+
+
 def test_decode_and_ema(spark):
     rows = spark.createDataFrame([(1, "é".encode()), (2, "한".encode("cp949")), (3, None)], "i int, raw binary")
     assert [(r["text"], r["encoding"]) for r in M.decode_bytes(rows, "raw").orderBy("i").collect()] == [("é", "utf-8"), ("한", "cp949"), (None, None)]
