@@ -106,10 +106,11 @@ def _sets(k: int, pct: int):
 
 
 def _rare_tokens(prefixes: DataFrame) -> DataFrame:
-    """(doc_id, rare tokens) of the documents that share enough prefix tokens with others; prefixes: doc_id, need, toks."""
+    """(doc_id, rare tokens) of the documents that share enough prefix tokens with others; prefixes: doc_id, need, toks.
+    Rows that repeat a doc_id pool their tokens; the least of their bounds holds for each of them."""
     tokens = prefixes.where("need > 0").select("doc_id", "need", F.explode("toks").alias("tok"))
     counts = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1").select(rehashed("tok").alias("tok"), "df")
-    shared = tokens.join(counts, "tok").groupBy("doc_id").agg(F.first("need").alias("need"), F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("shared"))
+    shared = tokens.join(counts, "tok").groupBy("doc_id").agg(F.min("need").alias("need"), F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("shared"))
     enough = shared.where(F.size("shared") >= F.col("need"))
     return enough.select("doc_id", F.expr("transform(slice(shared, 1, cast(greatest(size(shared) - need + 1, 0) as int)), x -> x.tok)").alias("rare"))
 

@@ -81,6 +81,32 @@ def test_repeated_ids_are_one_node(spark):
     assert ngram_jaccard(frame(spark, [])).count() == 0
 
 
+def test_near_copies_under_repeated_ids(spark):
+    from tessera.llm.ngram_jaccard import _rare_tokens
+
+    for rows in ([(1, 9, [11, 12, 13, 14]), (1, 1, [5])], [(1, 1, [5]), (1, 9, [11, 12, 13, 14])]):
+        prefixes = spark.createDataFrame([*rows, (2, 1, [5])], "doc_id bigint, need bigint, toks array<bigint>").coalesce(1)
+        assert {r["doc_id"]: r["rare"] for r in _rare_tokens(prefixes).collect()} == {1: [5], 2: [5]}
+    rng, rows = random.Random(6), []
+    for i in range(40):
+        short, long = ([f"{kind}{i}_{j}" for j in range(n)] for kind, n in (("s", 30), ("l", 3000)))
+        near, far = list(short), list(long)
+        near[29], far[rng.randrange(3000)] = "new", "new"
+        texts = [(1000 + i, short), (1000 + i, long), (2000 + i, near), (3000 + i, far)]
+        rng.shuffle(texts)
+        rows += [(d, " ".join(x), "") for d, x in texts]
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_jaccard(frame(spark, rows), 4, 85).collect()}
+    assert got == {(d + i, 1000 + i) for d in (1000, 2000, 3000) for i in range(40)}
+
+
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = frame(spark, [(1, a, ""), (1, a, ""), (1, b, ""), (1, " ", ""), (2, b, ""), (3, a, ""), (3, "quite another text of words", ""), (3, None, ""), (4, "alone", ""), (None, a, "")])
+    got = [(r["doc_id"], r["text"]) for r in pipeline.keep_one_of_each(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, " "), (3, None), (4, "alone"), (None, a)], key=str)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100)] + [(1000, i) for i in range(1001, 1300)] + [(7, 7), (None, 3)]
     found = {r[0]: r[1] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
