@@ -108,7 +108,7 @@ def symbol_search(symbols: DataFrame, query: str, limit: int) -> DataFrame:
 def symbol_depth(symbols: DataFrame) -> DataFrame:
     """Length of the parent chain; parents that are not in the table end it, a chain that runs into a cycle has none (null).
     Each round is a join by key that doubles the steps taken, so the rounds follow the logarithm of the longest chain."""
-    from tessera.llm.shared import materialize
+    from tessera.sources.shared import materialize
 
     known = symbols.select(F.col("symbol_key").alias("at")).distinct()
     links = symbols.select("symbol_key", F.col("parent_key").alias("at")).join(known.withColumn("steps", F.lit(1).cast("bigint")), "at", "left")
