@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import discard, materialize, rehashed
+from tessera.llm.shared import rehashed
+from tessera.sources.shared import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.ngram_jaccard import forest
-from tessera.llm.shared import materialize, rehashed
+from tessera.llm.shared import rehashed
+from tessera.sources.shared import materialize
 
 #: Vectors of a block, at least.
 LEAST_BLOCK = 256

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkernels
+from tessera.sources.shared import unused
 
 #: Distinct texts that the scorer is fitted on, at most about; the width of the hashed features; words of a text that it hashes count by frequency.
 SAMPLE_ROWS, WIDTH = 6000, 1 << 12
@@ -157,12 +158,13 @@ class QualityModel:
         #: of each labeller, how often its vote on a good and on a bad document is right
         self.accuracy = {name: (float(chance[1, i, GOOD] / chance[1, i, :2].sum()), float(chance[0, i, BAD] / chance[0, i, :2].sum())) for i, name in enumerate(LABELLERS)}
 
-    def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    def score(self, docs: DataFrame, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
         """docs with quality_score, the probability of good; a document without words scores 0. Columns keep their names;
-        one named quality_score is replaced."""
+        one with the name of `score_col` is replaced."""
         weights = self.weights
-        given = docs.drop("quality_score").withColumn("__text", F.col(text_col).cast("string"))
-        names = [c for c in given.columns if c != "__text"]
+        given = docs.drop(score_col)
+        given = given.withColumn(unused("text", given), F.col(f"`{text_col}`").cast("string"))
+        names = given.columns[:-1]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -174,11 +176,11 @@ class QualityModel:
                     p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * weights[index], len(shares)) + weights[-1], -30, 30)))
                     p[shares[:, -1] == 0] = 0
                     part = whole.slice(at, len(shares))
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p)], [*names, "quality_score"])
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p)], [*names, score_col])
 
         from pyspark.sql.types import DoubleType, StructField, StructType
 
-        return given.mapInArrow(run, StructType([*given.schema.fields[:-1], StructField("quality_score", DoubleType())]))
+        return given.mapInArrow(run, StructType([*given.schema.fields[:-1], StructField(score_col, DoubleType())]))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> QualityModel:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import discard, materialize
+from tessera.sources.shared import discard, materialize
 
 #: Rows of the sample that orders the rules, about; it decides no verdict.
 SAMPLE_ROWS = 1000

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, html_extraction, licenses, mixing, quality_classifier, quality_rules, secrets, token_counts
 from tessera.llm.embedding_dedup import embedding_dedup
 from tessera.llm.ngram_jaccard import ngram_jaccard
-from tessera.llm.shared import shared_dir
+from tessera.sources.shared import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import shared_dir
+from tessera.sources.shared import shared_dir, unused
 
 
 @dataclass(frozen=True)
@@ -109,17 +109,18 @@ def scan_versions(versions: DataFrame, ledger: str, text_col: str = "text", rule
     return now if old is None else now.dropDuplicates(["blob_id"])
 
 
-def secret_scan(docs: DataFrame, ledger: str | None = None, text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
+def secret_scan(docs: DataFrame, ledger: str | None = None, text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION, spans_col: str = "spans") -> DataFrame:
     """All rows and columns of docs, and `spans`: the sorted (start, rule number, end) of every secret in the text.
 
-    Empty and null texts have none. Without a ledger a new one is begun in the shared folder. A column of docs
-    named spans is replaced.
+    Empty and null texts have none; repeated rows have the same. Without a ledger a new one is begun in the shared folder.
+    A column of docs with the name of `spans_col` is replaced; all others stay. An empty table gives an empty one.
     """
     ledger = ledger or f"{shared_dir(docs.sparkSession)}/ledger-{uuid.uuid4().hex}"
-    found = scan_versions(docs, ledger, text_col, rules, rule_version).where("size(spans) > 0")
-    key = "__blob_id"
-    joined = docs.drop("spans").withColumn(key, blob_id(F.col(text_col))).join(found.withColumnRenamed("blob_id", key), key, "left").drop(key)
-    return joined.withColumn("spans", F.coalesce("spans", F.array().cast(_FINDING)))
+    rest = docs.drop(spans_col)
+    key, text = unused("blob_id", rest), F.col(f"`{text_col}`")
+    found = scan_versions(docs.select(text.alias("text")), ledger, "text", rules, rule_version).where("size(spans) > 0")
+    joined = rest.withColumn(key, blob_id(text)).join(found.select(F.col("blob_id").alias(key), F.col("spans").alias(spans_col)), key, "left").drop(key)
+    return joined.withColumn(spans_col, F.coalesce(F.col(spans_col), F.array().cast(_FINDING)))
 
 
 def span_digest(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -129,7 +130,8 @@ def span_digest(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def redact(docs: DataFrame, spans_col: str = "spans", text_col: str = "text", mask: str = "[secret]") -> DataFrame:
-    """Replaces the spans of secret_scan() by a mask; overlapping spans become one."""
+    """Replaces the spans of secret_scan() by a mask; overlapping spans become one. A null text stays null, one without
+    spans stays as it is; the spans' column goes, the others stay."""
     spans, text = F.col(spans_col), F.col(text_col)
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 

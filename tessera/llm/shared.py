@@ -1,45 +1,14 @@
-"""Materialised intermediate tables and skew-safe joins, shared by the operators."""
+"""Skew-safe joins, shared by the operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to this many bytes; beyond it the join shuffles both sides.
 BROADCAST_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only a local session without the setting gets one of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes a table to the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables of materialize() that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        for file in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def rehashed(key: str) -> Column:
     """The same key as a new expression. An aggregate joined by it is shuffled anew, and of a join
     between two fresh exchanges adaptive execution can split a hot key."""
@@ -52,3 +21,8 @@ def semi_by_id(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     if ids.count() * 16 <= BROADCAST_BYTES:
         ids = F.broadcast(ids)
     return df.join(ids, key, "left_semi")
+
+
+def small(df: DataFrame, size: int) -> DataFrame:
+    """df, to be broadcast if its `size` in bytes, known to the driver that made it, allows."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
