@@ -17,12 +17,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import materialize
+from tessera.llm.shared import small
+from tessera.sources.shared import materialize, unused
 
 #: The mixture is a list that the driver holds; more sources than this are refused.
 MOST_SOURCES = 100_000
-#: Rows of a bucket in which the running word count is made; shards that one row of the plan stands for.
-BUCKET_ROWS, SHARDS_TOGETHER = 500, 64
+#: Rows of a bucket in which the running word count is made; shards that one row of the plan stands for; tasks that
+#: draw slots, at most.
+BUCKET_ROWS, SHARDS_TOGETHER, MOST_TASKS = 500, 16, 20_000
+#: Rows of a source whose running sum one task makes; the sums of such runs are summed before.
+RUN = 4096
 
 
 def targets(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
@@ -65,6 +69,15 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def starts(df: DataFrame, at: str, value: str, run: int = RUN) -> DataFrame:
+    """df (src, the integer column `at`, value) with start, the sum of the values of its source at smaller `at`. It is
+    summed within runs of `at`, then over whole runs, so that a source with very many rows is not one task's."""
+    t = df.withColumn("run", F.floor(F.col(at) / run))
+    runs = t.groupBy("src", "run").agg(F.sum(value).alias("all")).withColumn("first", F.expr("sum(all) over (partition by src order by run) - all")).drop("all")
+    inner = F.expr(f"sum({value}) over (partition by src, run order by {at}) - {value}")
+    return t.withColumn("inner", inner).join(runs, ["src", "run"]).withColumn("start", F.col("inner") + F.col("first")).drop("run", "inner", "first")
+
+
 def _draws(seed: int, shard: int, slots: int, share: np.ndarray) -> np.ndarray:
     return np.random.default_rng([seed, shard]).multinomial(slots, share)
 
@@ -128,7 +141,7 @@ class Mix:
         took = self.spans.join(uses.hint("merge"), ["src", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
         spark = self.rows.sparkSession
         about = spark.createDataFrame([(i, s["size"], s["target"]) for i, s in enumerate(self.sources)], "src int, source_size bigint, target double")
-        return self.rows.join(took.hint("merge"), "row", "left").join(F.broadcast(about), "src", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+        return self.rows.join(took.hint("merge"), "row", "left").join(small(about, 32 * len(self.sources)), "src", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 32, shard_slots: int = 4096, seed: int = 9, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> Mix:
@@ -151,10 +164,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     quota = [min(round(t * b / n), int(most * b)) if n else 0 for t, b, n in zip(goal, blocks, sizes, strict=True)]
     sources = [{"name": x["source"], "size": n, "target": t, "blocks": b, "quota": q} for x, n, t, b, q in zip(names, sizes, goal, blocks, quota, strict=True)]
     index = spark.createDataFrame([(x["source"], i, max(1, x["n"] // BUCKET_ROWS)) for i, x in enumerate(names)], "name string, src int, buckets bigint")
-    rows = found.join(F.broadcast(index), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    rows = found.join(small(index, sum(64 + len((x["source"] or "").encode()) for x in names)), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     # where each document begins among its source's words: within its bucket, and the buckets before it
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "buckets")).drop("buckets")
-    sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("all")).withColumn("start", F.expr("sum(all) over (partition by src order by bucket) - all")).drop("all")
+    sums = starts(rows.groupBy("src", "bucket").agg(F.sum("size").alias("all")), "bucket", "all").drop("all")
     placed = rows.withColumn("at", F.expr("sum(size) over (partition by src, bucket order by xxhash64(doc_id, 1), doc_id, size, row rows between unbounded preceding and current row) - size"))
     placed = placed.join(sums, ["src", "bucket"]).where("size > 0").withColumn("at", F.col("at") + F.col("start"))
     spans = placed.withColumn("block", F.explode(F.expr(f"sequence(at div {block_words}, (at + size - 1) div {block_words})")))
@@ -163,21 +176,29 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     q = np.array(quota, np.int64)
     chance = q / max(n_slots, 1)
     shards = -(-n_slots // shard_slots)
-    plan = spark.range(-(-shards // SHARDS_TOGETHER)).mapInPandas(_plan(seed, shard_slots, n_slots, chance), "together bigint, src int, drawn bigint")
+    groups = -(-shards // SHARDS_TOGETHER)
+    tasks = max(1, min(groups, MOST_TASKS))
+    plan = spark.range(0, groups, 1, tasks).mapInPandas(_plan(seed, shard_slots, n_slots, chance), "together bigint, src int, drawn bigint")
     plan = materialize(plan, "plan")
     drawn = np.zeros(len(names), np.int64)
     for x in plan.groupBy("src").agg(F.sum("drawn").alias("drawn")).collect():  # a row per source
         drawn[x["src"]] = x["drawn"]
-    before = plan.withColumn("at", F.expr("sum(drawn) over (partition by src order by together) - drawn")).groupBy("together").agg(F.collect_list(F.struct("src", "at")).alias("before"))
-    slots = before.mapInPandas(_slots(seed, shard_slots, n_slots, chance, q, drawn, np.array(blocks, np.int64)), "shard bigint, slot bigint, src int, block bigint")
+    before = starts(plan, "together", "drawn").groupBy("together").agg(F.collect_list(F.struct("src", F.col("start").alias("at"))).alias("before"))
+    # few small rows make very many slots: a fixed number of partitions, which adaptive execution does not make fewer
+    slots = before.repartition(tasks, "together").mapInPandas(_slots(seed, shard_slots, n_slots, chance, q, drawn, np.array(blocks, np.int64)), "shard bigint, slot bigint, src int, block bigint")
     return Mix(sources, rows, spans, slots)
 
 
-def mixed_documents(docs: DataFrame, seed: int = 9, **options) -> DataFrame:
-    """The rows of docs as often as the mix takes them: taken / size times, a fraction by a draw from doc_id."""
-    taken = mix_sources(docs, seed=seed, **options).taken().groupBy("doc_id", "size").agg(F.avg("taken").alias("taken"))
-    size = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("bigint")
-    taken = materialize(taken.where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken")), "taken")
-    joined = docs.withColumn("__words", size).join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")))
-    times = F.expr(f"cast(floor(__taken / __size + pmod(xxhash64({int(seed)}, doc_id, 77), 1000000) / 1000000.0) as int)")
-    return joined.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+def mixed_documents(docs: DataFrame, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs as often as the mix takes them: taken / size times, a fraction by a draw from the id.
+
+    Rows without words are never taken. Rows that repeat an id and a size share what the mix takes of them evenly. All
+    columns of docs are kept, whatever their names; an empty table gives an empty one."""
+    taken = mix_sources(docs, seed=seed, id_col=id_col, text_col=text_col, **options).taken().groupBy("doc_id", "size").agg(F.avg("taken").alias("taken"))
+    own, words, much, times = (unused(x, docs) for x in ("mix_id", "mix_words", "mix_taken", "mix_times"))
+    size = F.size(F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("bigint")
+    taken = materialize(taken.where("taken > 0").select(F.col("doc_id").alias(own), F.col("size").alias(unused("mix_size", docs)), F.col("taken").alias(much)), "taken")
+    joined = docs.withColumn(words, size).join(taken, F.col(id_col).eqNullSafe(F.col(own)) & (F.col(words) == F.col(unused("mix_size", docs))))
+    draw = F.pmod(F.xxhash64(F.lit(int(seed)), F.col(id_col), F.lit(77)), F.lit(1_000_000)) / 1_000_000.0
+    joined = joined.withColumn(times, F.floor(F.col(much) / F.col(words) + draw).cast("int")).where(F.col(times) > 0)
+    return joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(F.col(f"`{c}`") for c in docs.columns))
