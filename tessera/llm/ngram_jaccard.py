@@ -10,8 +10,11 @@ n - o + l tokens under *any* global token order; of the shared prefix, again, th
 1. order A keeps 15 % + 5 % of every set; documents with too few prefix tokens that another document has
    drop out (they have no partner);
 2. order B keeps a longer prefix, of the remaining documents only; its tokens, ordered by their frequency,
-   give rare tokens by which the documents are brought together;
-3. within each bundle of documents, cut into blocks, a pair is a candidate only if it shares prefix tokens under
+   give rare tokens by which the documents are brought together. Tokens that stand in the same documents (those of
+   a passage that some pages share, or of a group of near copies) count as one group. Groups that overlap nearly
+   wholly, as those of near copies with some edits do, are joined, so that a document is sent once; where joining
+   them would compare more pairs than the groups hold themselves (chains of unlike documents), they stay apart;
+3. within each group, cut into blocks if it is large, a pair is a candidate only if it shares prefix tokens under
    order A *and* under order B; candidates are verified by the exact size of the intersection.
 
 Equal sets are one class throughout (smallest doc_id stands for it), and a block emits a spanning forest of its
@@ -29,11 +32,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textkernels
 from tessera.llm.components import connected_components
-from tessera.llm.shared import discard, materialize, rehashed, semi_by_id
+from tessera.llm.shared import rehashed, semi_by_id
+from tessera.sources.shared import discard, materialize
 
 #: Share of the set by which the prefixes of order A and B exceed the plain prefix.
 EXTRA_A, EXTRA_B = 0.05, 0.35
-#: Documents of a block: at least this many, growing with the square root of the bundle.
+#: Documents of a block: at least this many, growing with the square root of the group.
 LEAST_BLOCK = 96
 _SALT_B = np.uint64(0x5851F42D4C957F2D)
 
@@ -105,14 +109,47 @@ def _sets(k: int, pct: int):
     return run
 
 
-def _rare_tokens(prefixes: DataFrame) -> DataFrame:
-    """(doc_id, rare tokens) of the documents that share enough prefix tokens with others; prefixes: doc_id, need, toks.
-    Rows that repeat a doc_id pool their tokens; the least of their bounds holds for each of them."""
+def _with_partners(prefixes: DataFrame) -> DataFrame:
+    """doc_id of the documents that share enough prefix tokens with others; prefixes: doc_id, need, toks."""
     tokens = prefixes.where("need > 0").select("doc_id", "need", F.explode("toks").alias("tok"))
-    counts = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1").select(rehashed("tok").alias("tok"), "df")
-    shared = tokens.join(counts, "tok").groupBy("doc_id").agg(F.min("need").alias("need"), F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("shared"))
+    counts = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1").select(rehashed("tok").alias("tok"))
+    return tokens.join(counts, "tok").groupBy("doc_id").agg(F.min("need").alias("need"), F.count("*").alias("shared")).where("shared >= need").select("doc_id")
+
+
+def _rare_groups(prefixes: DataFrame) -> DataFrame:
+    """(doc_id, groups) of the documents that share enough prefix tokens with others; prefixes: doc_id, need, toks.
+    groups: the distinct (df, id) of the rare tokens, sorted; tokens that stand in the same documents have one id. A
+    token's id depends on nothing but the token, so an unlikely hash collision brings documents together in vain but
+    loses none. Rows that repeat a doc_id pool their tokens; the least of their bounds holds for each of them."""
+    tokens = prefixes.where("need > 0").select("doc_id", "need", F.explode("toks").alias("tok"))
+    where = [F.bit_xor(F.xxhash64(F.lit(seed), "doc_id")) for seed in (1, 2)]
+    counts = tokens.groupBy("tok").agg(F.count("*").alias("df"), *(x.alias(f"w{i}") for i, x in enumerate(where))).where("df > 1")
+    counts = counts.select(rehashed("tok").alias("tok"), F.struct("df", F.xxhash64("df", "w0", "w1").alias("id")).alias("g"))
+    shared = tokens.join(counts, "tok").groupBy("doc_id").agg(F.min("need").alias("need"), F.sort_array(F.collect_list("g")).alias("shared"))
     enough = shared.where(F.size("shared") >= F.col("need"))
-    return enough.select("doc_id", F.expr("transform(slice(shared, 1, cast(greatest(size(shared) - need + 1, 0) as int)), x -> x.tok)").alias("rare"))
+    return enough.select("doc_id", F.expr("array_distinct(slice(shared, 1, cast(greatest(size(shared) - need + 1, 0) as int)))").alias("groups"))
+
+
+def candidate_groups(prefixes: DataFrame) -> DataFrame:
+    """(doc_id, group, nb, own): every group of documents that may hold links, and the block of nb that the document is
+    in. The connected groups are one if they hold half as many pairs together as one group of all their documents, or
+    more. Else they stay apart, without those all of whose documents have one and the same larger group, which holds
+    their pairs too. Either way every two documents that share a rare token meet."""
+    found = _rare_groups(prefixes).select("doc_id", F.explode("groups").alias("g"), F.element_at("groups", -1)["id"].alias("top"))
+    found = materialize(found.select("doc_id", F.col("g.id").alias("group"), "top"), "groups")
+    sizes = materialize(found.groupBy("group").agg(F.count("*").alias("m"), F.min("doc_id").alias("hub"), F.min("top").alias("low"), F.max("top").alias("high")).where("m > 1"), "group-sizes")
+    fresh = sizes.select(rehashed("group").alias("group"), "m", "hub", "low", "high")
+    joined = materialize(connected_components(found.join(fresh, "group").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))), "joined")
+    # one row a component: its documents, and the pairs that its groups hold
+    whole = joined.groupBy("component").agg(F.count("*").alias("n"))
+    pairs = sizes.select("m", F.col("hub").alias("node")).join(joined, "node").groupBy("component").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("held"))
+    one = materialize(whole.join(pairs, "component").select("component", "n", (F.col("n").cast("double") * F.col("n") <= 2 * F.col("held")).alias("compact")), "compact")
+    blocks = lambda n: F.expr(f"cast(ceil({n} / greatest({LEAST_BLOCK}, 2 * sqrt({n}))) as int)").alias("nb")
+    kinds = joined.join(one.select(rehashed("component").alias("component"), "n", "compact"), "component")
+    compact = kinds.where("compact").select(F.col("node").alias("doc_id"), F.xxhash64(F.lit(3), "component").alias("group"), blocks("n"))
+    apart = found.join(kinds.where("not compact").select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    apart = apart.join(fresh.where("low <> high or low = group").select("group", blocks("m")), "group").select("doc_id", "group", "nb")
+    return compact.unionByName(apart).select("doc_id", "group", "nb", F.expr("cast(pmod(xxhash64(doc_id), nb) as int)").alias("own"))
 
 
 def _incidence(rows: list[np.ndarray]) -> np.ndarray | None:
@@ -165,7 +202,7 @@ def forest(pairs: np.ndarray, n: int) -> np.ndarray:
 
 
 def _verify(pct: int):
-    """Rows come sorted by (bundle, i, j); a group, of two blocks at most, is verified as soon as it is whole."""
+    """Rows come sorted by (group, i, j); a part, of two blocks at most, is verified as soon as it is whole."""
 
     def links(key, ids, blocks, sets):
         if len(ids) < 2:
@@ -177,11 +214,11 @@ def _verify(pct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, blocks, sets, out = None, [], [], [], []
         for batch in batches:
-            bundle, i, j, own, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+            group, i, j, own, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
             whole = batch.column(5)
             ends, flat = whole.offsets.to_numpy(), whole.values.to_numpy()
             for row in range(len(doc)):
-                if key != (now := (bundle[row], i[row], j[row])):
+                if key != (now := (group[row], i[row], j[row])):
                     out.append(links(key, ids, blocks, sets))
                     key, ids, blocks, sets = now, [], [], []
                 ids.append(doc[row])
@@ -209,24 +246,20 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "doc
     named = sig.where("n > 0 and doc_id is not null")
     classes = materialize(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
     # order A over all documents; then one document of each class
-    rare = _rare_tokens(named.select("doc_id", "need", "toks")).select("doc_id")
-    active = materialize(rare.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct(), "active")
+    active = _with_partners(named.select("doc_id", "need", "toks")).join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    active = materialize(active, "active")
     sets = materialize(semi_by_id(base, active, "doc_id").mapInArrow(_sets(k, pct), "doc_id bigint, need bigint, toks array<bigint>, whole array<bigint>"), "sets")
-    # order B over what is left; documents that share a rare token come into one bundle
-    rare = materialize(_rare_tokens(sets.select("doc_id", "need", "toks")).select("doc_id", F.explode("rare").alias("tok")), "rare")
-    hub = rare.groupBy("tok").agg(F.min("doc_id").alias("hub"), F.count("*").alias("df")).where("df > 1").select(rehashed("tok").alias("tok"), "hub")
-    bundles = materialize(connected_components(rare.join(hub, "tok").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))), "bundles")
-    blocks = bundles.groupBy("component").agg(F.count("*").alias("m")).select(rehashed("component").alias("component"), F.expr(f"cast(ceil(m / greatest({LEAST_BLOCK}, 2 * sqrt(m))) as int)").alias("nb"))
-    placed = bundles.join(blocks, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("bundle"), "nb", F.expr("cast(pmod(xxhash64(node), nb) as int)").alias("own"))
-    copies = sets.select("doc_id", "whole").join(placed, "doc_id").select("bundle", "own", "doc_id", "whole", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    grouped = copies.select("bundle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "whole")
-    grouped = grouped.repartition("bundle", "i", "j").sortWithinPartitions("bundle", "i", "j")
-    links = grouped.mapInArrow(_verify(pct), "a bigint, b bigint")
+    # order B over what is left; documents meet in the groups of their rare tokens
+    placed = candidate_groups(sets.select("doc_id", "need", "toks"))
+    copies = sets.select("doc_id", "whole").join(placed, "doc_id").select("group", "own", "doc_id", "whole", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    dealt = copies.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "whole")
+    dealt = dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+    links = dealt.mapInArrow(_verify(pct), "a bigint, b bigint")
     # rows of one doc_id with different sets are one node
     split = named.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("low"), F.max(F.struct("k1", "k2")).alias("high")).where("low <> high").select("doc_id")
     reps = named.join(split, "doc_id").select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = materialize(connected_components(links.union(reps)), "components")
-    discard(rare, active, bundles, sets)
+    discard(active, sets)
     roots = classes.where("members > 1").select("k1", "k2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "k1", "k2", F.coalesce("component", "rep").alias("root"))
     alone = sig.select("doc_id", "n", "k1", "k2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")

@@ -82,11 +82,12 @@ def test_repeated_ids_are_one_node(spark):
 
 
 def test_near_copies_under_repeated_ids(spark):
-    from tessera.llm.ngram_jaccard import _rare_tokens
+    from tessera.llm.ngram_jaccard import _rare_groups, _with_partners
 
     for rows in ([(1, 9, [11, 12, 13, 14]), (1, 1, [5])], [(1, 1, [5]), (1, 9, [11, 12, 13, 14])]):
         prefixes = spark.createDataFrame([*rows, (2, 1, [5])], "doc_id bigint, need bigint, toks array<bigint>").coalesce(1)
-        assert {r["doc_id"]: r["rare"] for r in _rare_tokens(prefixes).collect()} == {1: [5], 2: [5]}
+        assert {r["doc_id"]: [g["df"] for g in r["groups"]] for r in _rare_groups(prefixes).collect()} == {1: [2], 2: [2]}
+        assert {r["doc_id"] for r in _with_partners(prefixes).collect()} == {1, 2}
     rng, rows = random.Random(6), []
     for i in range(40):
         short, long = ([f"{kind}{i}_{j}" for j in range(n)] for kind, n in (("s", 30), ("l", 3000)))
@@ -99,6 +100,22 @@ def test_near_copies_under_repeated_ids(spark):
     assert got == {(d + i, 1000 + i) for d in (1000, 2000, 3000) for i in range(40)}
 
 
+def test_chains_of_unlike_documents_do_not_come_together(spark):
+    """Templated pages: each of six passages of a stock, no two linked. Their groups stay as small as a passage's."""
+    from tessera.llm.ngram_jaccard import _sets, candidate_groups
+
+    rng = random.Random(3)
+    stock = [" ".join(f"p{i}w{j}" for j in range(25)) for i in range(200)]
+    rows = [(i, " ".join(rng.sample(stock, 6)), "") for i in range(600)]
+    docs = frame(spark, rows)
+    sets = docs.select("doc_id", "text").mapInArrow(_sets(4, 85), "doc_id bigint, need bigint, toks array<bigint>, whole array<bigint>")
+    groups = collections.Counter(r["group"] for r in candidate_groups(sets.select("doc_id", "need", "toks")).collect())
+    assert max(groups.values(), default=0) < 40 and sum(n * n for n in groups.values()) < 600 * 6 * 40
+    rows += [(1000 + i, x.replace("w3 ", "w3x "), "") for i, x, _ in rows[:30]] + [(2000, rows[0][1] + " end", ""), (2001, "an end " + rows[0][1], "")]
+    found = {tuple(r) for r in ngram_jaccard(frame(spark, rows), 4, 85).collect()}
+    assert found == brute_components(rows, 4, 85)
+
+
 def test_pipeline_keeps_one_row_of_a_group(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
