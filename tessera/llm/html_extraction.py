@@ -3,27 +3,42 @@
 A page becomes its sequence of leaf blocks: runs of text between block boundaries, each with the path of open
 elements. Hashed path tokens (names, classes, ids, roles) and hashed words of a block make its vector; a
 bidirectional LSTM in numpy reads the vectors of the whole page and labels every block main text or not. The model
-is trained here, on pages drawn from a generator of layouts with random words, so that it learns structure.
+is trained here, on pages drawn from a generator of layouts, and stored in the shared folder for later runs. Prose has
+random words there; half of the junk has words that such blocks carry on real sites, so both halves of a vector tell.
+
+Pages go through the network in batches of a bounded number of blocks, padding included; one with more is read in
+chunks of steps that hand on the state, so memory does not grow with it beyond its texts and 100 bytes a block.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import html
+import inspect
+import itertools
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PATH_WIDTH, WORD_WIDTH, HIDDEN = 192, 32, 24
+from tessera.sources.shared import shared_dir, unused
+
+PATH_WIDTH, WORD_WIDTH, HIDDEN = 192, 64, 24
 _NUMBERS = 4
 WIDTH = PATH_WIDTH + WORD_WIDTH + _NUMBERS
-#: Pages that go through the network together.
-PAGES_TOGETHER = 64
+#: Pages that go through the network together, and blocks, padding included; characters of HTML that are parsed together.
+PAGES_TOGETHER, BLOCKS_TOGETHER, CHARS_TOGETHER = 64, 8192, 4_000_000
+
+#: (text, packed bits of the cells of its path's tokens, share of its characters in links)
+Block = tuple[str, bytes, float]
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|[^<]+|<", re.S | re.I)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -35,10 +50,12 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 _WORDS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+")
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
-    """(text, path tokens, share of its characters in links) of every block with text, in page order."""
-    out: list[tuple[str, tuple[str, ...], float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+def blocks(page: str) -> list[Block]:
+    """Every block with text, in page order. What is open is counted as elements open and close, so deep nesting costs
+    a block no more than the width of its vector."""
+    out: list[Block] = []
+    stack: list[tuple[str, list[int]]] = []
+    open_names, cells, bits = Counter(), [0] * PATH_WIDTH, 0
     parts: list[str] = []
     linked = 0
 
@@ -46,46 +63,58 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            path = dict.fromkeys(t for _, tokens in stack for t in tokens)
-            out.append((text, tuple(path), linked / max(1, sum(map(len, parts)))))
+            out.append((text, bits.to_bytes(PATH_WIDTH // 8, "big"), linked / max(1, sum(map(len, parts)))))
         parts.clear()
         linked = 0
 
+    def cut(i: int) -> None:
+        nonlocal bits
+        for name, own in stack[i:]:
+            open_names[name] -= 1
+            for c in own:
+                cells[c] -= 1
+                if not cells[c]:
+                    bits ^= 1 << (PATH_WIDTH - 1 - c)
+        del stack[i:]
+
     for m in _TOKEN.finditer(page):
         whole, name = m[0], m[3]
         if name is None:
             if m[1] is None and whole[0] != "<" or whole == "<":
                 parts.append(whole)
-                if any(n == "a" for n, _ in stack):
+                if open_names["a"]:
                     linked += len(whole)
-            elif m[1] is not None:
-                pass
             continue
         name = name.lower()
         if name not in _INLINE:
             close()
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if open_names[name] else ():
                 if stack[i][0] == name:
-                    del stack[i:]
+                    cut(i)
                     break
                 if name in _INLINE and stack[i][0] not in _INLINE:
                     break
             continue
-        if name in _CLOSES_P or name in _CLOSES:
-            ends = ("p",) if name in _CLOSES_P else _CLOSES[name]
+        ends = ("p",) if name in _CLOSES_P else _CLOSES.get(name, ())
+        if any(open_names[e] for e in ends):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in ends:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i][0] not in _INLINE and stack[i][0] != "p":
                     break
         if name in _VOID or m[4].endswith("/"):
             continue
-        tokens = [name]
+        own = {_cell("path", name, PATH_WIDTH)}
         for a in _NAMED.finditer(m[4]):
-            tokens += (w.lower() for w in _WORDS.findall(a[2] or a[3] or a[4] or ""))
-        stack.append((name, tuple(tokens)))
+            own.update(_cell("path", w.lower(), PATH_WIDTH) for w in _WORDS.findall(a[2] or a[3] or a[4] or ""))
+        stack.append((name, list(own)))
+        open_names[name] += 1
+        for c in own:
+            if not cells[c]:
+                bits |= 1 << (PATH_WIDTH - 1 - c)
+            cells[c] += 1
     close()
     return out
 
@@ -95,16 +124,34 @@ def _cell(kind: str, token: str, width: int) -> int:
     return zlib.crc32(f"{kind}:{token}".encode()) % width
 
 
-def vectors(page: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray:
-    x = np.zeros((len(page), WIDTH), np.float32)
-    for i, (text, path, linked) in enumerate(page):
-        for t in path:
-            x[i, _cell("path", t, PATH_WIDTH)] = 1
-        words = text.split()
-        # the vector looks at a block's first words; the text itself is kept whole
-        for w in words[:24]:
-            x[i, PATH_WIDTH + _cell("word", w.lower(), WORD_WIDTH)] += 0.05
-        x[i, -_NUMBERS:] = (min(1.0, np.log1p(len(words)) / 6), linked, text[-1] in ".!?", i / len(page))
+class _WordCells(dict):
+    """The cells of words, looked up some ten million times a task; forgotten beyond a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        return self.setdefault(word, zlib.crc32(f"word:{word}".encode()) % WORD_WIDTH)
+
+
+_WORD_CELLS = _WordCells()
+
+
+def vectors(page: list[Block], low: int = 0, high: int | None = None) -> np.ndarray:
+    """The vectors of a page's blocks from low to high. All words of a block count, long blocks' in proportion."""
+    own = page[low:high]
+    if not own:
+        return np.zeros((0, WIDTH), np.float32)
+    words = [text.lower().split() for text, _, _ in own]
+    n = np.array([*map(len, words)])
+    cells = np.fromiter(map(_WORD_CELLS.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(n.sum()))
+    counts = np.bincount(cells + np.repeat(np.arange(len(own)) * WORD_WIDTH, n), minlength=len(own) * WORD_WIDTH)
+    x = np.zeros((len(own), WIDTH), np.float32)
+    x[:, :PATH_WIDTH] = np.unpackbits(np.frombuffer(b"".join(b[1] for b in own), np.uint8).reshape(len(own), -1), axis=1)
+    x[:, PATH_WIDTH : PATH_WIDTH + WORD_WIDTH] = counts.reshape(len(own), WORD_WIDTH) * (1.2 / np.maximum(12, n))[:, None]
+    x[:, -4] = np.minimum(1, np.log1p(n) / 6)
+    x[:, -3] = [b[2] for b in own]
+    x[:, -2] = [b[0][-1] in ".!?" for b in own]
+    x[:, -1] = (low + np.arange(len(own))) / len(page)
     return x
 
 
@@ -127,11 +174,12 @@ class Labeller:
         self.w["oc"] = np.zeros(1)
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
-    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
+    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: list | None = None, state: list | None = None) -> np.ndarray:
+        """The states of direction d after every step. state: [h, c] to begin with, replaced by those at the end."""
         steps, pages = x.shape[:2]
         gates = x.reshape(-1, WIDTH) @ self.w[f"{d}x"] + self.w[f"{d}c"]
         gates = gates.reshape(steps, pages, 4 * HIDDEN)
-        h = c = np.zeros((pages, HIDDEN), np.float32)
+        h, c = state or [np.zeros((pages, HIDDEN), np.float32)] * 2
         out = np.zeros((steps, pages, HIDDEN), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = gates[t] + h @ self.w[f"{d}h"]
@@ -145,8 +193,21 @@ class Labeller:
                 keep.append((t, i, f, o, g, c, tanh, h, m))
             c, h = np.where(m, new, c), np.where(m, o * tanh, h)
             out[t] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
+    def label_long(self, page: list[Block], together: int = BLOCKS_TOGETHER) -> np.ndarray:
+        """label() of one page, whose vectors are made for some blocks at a time."""
+        out = np.zeros((len(page), 2 * HIDDEN), np.float32)
+        starts = range(0, len(page), together)
+        for d, at in (("f", 0), ("b", HIDDEN)):
+            state = [np.zeros((1, HIDDEN), np.float32)] * 2
+            for low in starts if d == "f" else reversed(starts):
+                x = vectors(page, low, low + together)[:, None]
+                out[low : low + together, at : at + HIDDEN] = self._run(d, x, np.ones(x.shape[:2], bool), state=state)[:, 0]
+        return _sigmoid((out @ self.w["o"])[:, 0] + self.w["oc"])
+
     def label(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         both = np.concatenate([self._run("f", x, mask), self._run("b", x, mask)], 2)
         return _sigmoid((both @ self.w["o"])[..., 0] + self.w["oc"])
@@ -214,16 +275,37 @@ _PARTS = {
 }
 _ELEMENT = {"menu": "nav", "header": "header", "footer": "footer", "side": "aside", "form": "form"}
 _MAIN = ("content", "post", "entry", "article", "body", "story", "main", "text")
+#: Words that junk blocks carry on real sites, by their kind; prose has none of its own.
+_SAYS = {
+    "menu": "home about contact blog archive categories news products services login register next previous more",
+    "header": "menu search login register welcome skip to content home site",
+    "footer": "copyright all rights reserved privacy policy terms of use imprint contact powered by © ®",
+    "side": "related articles recommended for you popular posts trending tags archives read more about the author",
+    "notice": "we use cookies to improve your experience accept reject all settings privacy policy consent by continuing you agree this site",
+    "advert": "advertisement sponsored buy now sale discount offer shop free shipping deal click here limited % off $",
+    "form": "subscribe to our newsletter enter your email address sign up log in password username submit send search comment",
+    "comment": "reply replies comments says ago like likes report flag login to comment posted thanks great post",
+    "share": "share this on facebook twitter whatsapp email print follow us tweet pin link copy",
+}
 #: Words that wrappers of either kind carry, so they tell nothing.
 _PLAIN = ("box", "wrap", "wrapper", "block", "container", "inner", "slot", "site", "page", "col", "row", "list", "item", "section", "area")
 
 
-def training_page(rng: np.random.Generator) -> list[tuple[str, tuple[str, ...], float, int]]:
-    """Blocks of a random layout with their labels, parsed from its HTML; \\x01 marks main text."""
-    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "ter", "an", "ou", "esh", "ti", "ron", "ble"], rng.integers(1, 4)))
+_SYLLABLES = ("ka", "lo", "mi", "ter", "an", "ou", "esh", "ti", "ron", "ble")
+_SYLLABIC = [*_SYLLABLES, *(a + b for a in _SYLLABLES for b in _SYLLABLES), *(a + b + c for a in _SYLLABLES for b in _SYLLABLES for c in _SYLLABLES[::2])]
 
-    def text(least: int, most: int, mark: str) -> str:
-        return mark + " ".join(word() for _ in range(rng.integers(least, most))) + rng.choice([".", "", "!"], p=[0.7, 0.25, 0.05])
+
+def training_page(rng: np.random.Generator) -> list[tuple[str, bytes, float, int]]:
+    """Blocks of a random layout with their labels, parsed from its HTML; \\x01 marks main text."""
+    def text(least: int, most: int, mark: str, kind: str = "") -> str:
+        n = int(rng.integers(least, most))
+        words = [_SYLLABIC[i] for i in rng.integers(0, len(_SYLLABIC), n)]
+        if kind and rng.random() < 0.5:
+            own = _SAYS[kind].split()
+            words = [own[i % len(own)] if said else w for w, i, said in zip(words, range(int(rng.integers(99)), 1 << 30), rng.random(n) < 0.6, strict=False)]
+        if words and rng.random() < 0.5:
+            words[0] = words[0].capitalize()
+        return mark + " ".join(words) + ("." if (end := rng.random()) < 0.7 else "" if end < 0.95 else "!")
 
     def junk(kind: str) -> str:
         names = " ".join(rng.choice(_PARTS[kind], rng.integers(1, 3)))
@@ -232,15 +314,15 @@ def training_page(rng: np.random.Generator) -> list[tuple[str, tuple[str, ...],
         tag = _ELEMENT.get(kind, "div") if rng.random() < 0.6 else str(rng.choice(["div", "section", "p"] if kind in ("advert", "notice") else ["div", "section"]))
         attribute = f' {rng.choice(["class", "id"])}="{names}"' if tag in ("div", "section", "p") or rng.random() < 0.4 else ""
         if kind == "menu" or rng.random() < 0.25:
-            inner = "<ul>" + "".join(f"<li><a href='/x'>{text(1, 4, '')}</a></li>" for _ in range(rng.integers(2, 9))) + "</ul>"
+            inner = "<ul>" + "".join(f"<li><a href='/x'>{text(1, 4, '', kind)}</a></li>" for _ in range(rng.integers(2, 9))) + "</ul>"
         elif kind == "form":
-            inner = f"<label>{text(1, 5, '')}</label><input><button>{text(1, 3, '')}</button>"
+            inner = f"<label>{text(1, 5, '', kind)}</label><input><button>{text(1, 3, '', kind)}</button>"
         elif kind == "comment":
-            inner = "".join(f"<div class='{rng.choice(_PARTS['comment'])}'><p>{text(3, 60, '')}</p></div>" for _ in range(rng.integers(1, 5)))
+            inner = "".join(f"<div class='{rng.choice(_PARTS['comment'])}'><p>{text(3, 60, '', kind)}</p></div>" for _ in range(rng.integers(1, 5)))
         elif rng.random() < 0.5:
-            inner = text(1, 40, "")
+            inner = text(1, 40, "", kind)
         else:
-            inner = "".join(f"<p>{text(2, 50, '')}</p>" for _ in range(rng.integers(1, 4)))
+            inner = "".join(f"<p>{text(2, 50, '', kind)}</p>" for _ in range(rng.integers(1, 4)))
         return f"<{tag}{attribute}>{inner}</{tag}>"
 
     def prose() -> str:
@@ -293,34 +375,65 @@ def trained(pages: int = 600, rounds: int = 14, seed: int = 11) -> Labeller:
     return model
 
 
-def main_blocks(model: Labeller, pages: list[list[tuple[str, tuple[str, ...], float]]], threshold: float = 0.5) -> list[list[str]]:
+def stored(spark: SparkSession, pages: int = 600, rounds: int = 14, seed: int = 11) -> Labeller:
+    """trained(), from the shared folder if a run with the same parameters and code has left it there."""
+    key = hashlib.sha256(repr((pages, rounds, seed, WIDTH, HIDDEN, inspect.getsource(training_page), _PARTS, _SAYS)).encode()).hexdigest()[:16]
+    path, model = f"{shared_dir(spark)}/html-labeller-{key}", Labeller()
+    try:
+        found = {r["name"]: np.frombuffer(r["value"], np.float32) for r in spark.read.schema("name string, value binary").parquet(path).collect()}  # a few rows
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        found = {}
+    if found.keys() == model.w.keys():
+        model.w = {k: found[k].reshape(v.shape) for k, v in model.w.items()}
+        return model
+    model = trained(pages, rounds, seed)
+    rows = [(k, v.astype(np.float32).tobytes()) for k, v in model.w.items()]
+    spark.createDataFrame(rows, "name string, value binary").coalesce(1).write.mode("ignore").parquet(path)
+    return model
+
+
+def main_blocks(model: Labeller, pages: list[list[Block]], threshold: float = 0.5) -> list[list[str]]:
     """The texts of the blocks that the labeller takes for main text, page by page."""
     out: list[list[str]] = [[] for _ in pages]
     order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
-    for at in range(0, len(order), PAGES_TOGETHER):
-        own = order[at : at + PAGES_TOGETHER]
-        x, mask, _ = padded([vectors(pages[i]) for i in own])
-        score = model.label(x, mask)
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < min(len(order), at + PAGES_TOGETHER) and len(pages[order[end]]) * (end + 1 - at) <= BLOCKS_TOGETHER:
+            end += 1
+        own, at = order[at:end], end
+        if len(pages[own[0]]) > BLOCKS_TOGETHER:
+            score = model.label_long(pages[own[0]])[:, None]
+        else:
+            x, mask, _ = padded([vectors(pages[i]) for i in own])
+            score = model.label(x, mask)
         for n, i in enumerate(own):
             out[i] = [b[0] for b, s in zip(pages[i], score[:, n], strict=False) if s >= threshold]
     return out
 
 
-def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), model: Labeller | None = None) -> DataFrame:
+def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), model: Labeller | None = None, text_col: str = "text") -> DataFrame:
     """The columns of `keep` and text, the main text of each page: its blocks in page order, joined by one space.
 
     A null or empty page, or one without main text, has an empty text. Rows keep their number; repeated rows give the
-    same text; other columns are not read.
+    same text; other columns are not read. A block whose score is exactly the threshold is main text.
     """
-    model = model or trained()
-    rows = pages.select(*keep, F.col(html_col).cast("string").alias("__html"))
+    model = model or stored(pages.sparkSession)
+    rows = pages.select(*keep, F.col(html_col).cast("string").alias(unused("html", pages.select(*keep))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 4 * PAGES_TOGETHER):
-                batch = whole.slice(at, 4 * PAGES_TOGETHER)
-                found = main_blocks(model, [blocks(x or "") for x in batch.column("__html").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([" ".join(x) for x in found], pa.string())], [*keep, "text"])
-
-    kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema if x.name != "__html")
-    return rows.mapInArrow(run, f"{kinds}, text string")
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_pylist()
+            at = size = 0
+            for i, n in enumerate(sizes, 1):
+                size += n
+                if size >= CHARS_TOGETHER or i - at == 4 * PAGES_TOGETHER or i == len(sizes):
+                    part = batch.slice(at, i - at)
+                    found = main_blocks(model, [blocks(x or "") for x in part.column(part.num_columns - 1).to_pylist()])
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([" ".join(x) for x in found], pa.string())], [*keep, text_col])
+                    at, size = i, 0
+
+    kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{kinds}, `{text_col}` string")
