@@ -18,7 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.secret_scan(_table(spark, sf_dir, "documents"))
+    """Two deliveries to one ledger: first the versions that carry labels, then all; the second scans only unseen blobs."""
+    docs, ledger = _table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    secrets.scan_versions(docs.join(_table(spark, sf_dir, "labels"), "doc_id", "left_semi"), ledger)
+    found = secrets.secret_scan(docs, ledger)
     n = len(secrets.BASE_RULES)
     count = lambda i: F.size(F.filter("spans", lambda x: x["rule"] == i)).cast("bigint")
     base = F.filter("spans", lambda x: x["rule"] < n)
@@ -53,7 +56,11 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = token_counts.TokenTotals(spark, f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
-    totals.commit("documents", _table(spark, sf_dir, "documents"), {"words-1": token_counts.word_counter, "byte_bpe_multi_50k": token_counts.rank_counter(*bpe.default_vocabulary())})
+    docs = _table(spark, sf_dir, "documents")
+    counters = {"words-1": token_counts.word_counter, "byte_bpe_multi_50k": token_counts.rank_counter(*bpe.default_vocabulary())}
+    totals.commit("documents", docs, counters)
+    # the labelled documents are delivered again: their counts are taken out and put in once more, the totals stay
+    totals.commit("revision", docs.join(_table(spark, sf_dir, "labels"), "doc_id", "left_semi"), counters)
     return totals.totals()
 
 
@@ -129,18 +136,18 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(
 
 def _op2() -> str:
     """Every block against every template, without filters."""
-    rows = ", ".join(f"('{t.label}', '{t.kind}', {[*licenses._tokens(t.text)]})" for t in licenses.TEMPLATES)
+    rows = ", ".join(f"('{t.label}', {[*licenses._tokens(t.text)]})" for t in licenses.TEMPLATES)
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     places = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM p WHERE " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) for phrase, label in licenses.PHRASES)
     return f"""
-WITH t(label, kind, tokens) AS (VALUES {rows}), d AS (SELECT doc_id, lower(coalesce(text, '')) AS text FROM documents),
+WITH t(label, tokens) AS (VALUES {rows}), d AS (SELECT doc_id, lower(coalesce(text, '')) AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '{word}') AS w FROM d),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
 f AS (SELECT doc_id, count(*) AS n, min(place) AS low, max(place) AS high, list(DISTINCT label) AS labels FROM ({places}) GROUP BY doc_id),
 l AS (SELECT doc_id, i, regexp_extract_all(lines[i], '{word}') AS words FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM w))),
 g AS (SELECT doc_id, i, words, count(*) FILTER (WHERE len(words) = 0) OVER (PARTITION BY doc_id ORDER BY i) AS par FROM l),
-b AS (SELECT doc_id, 'line' AS kind, words FROM l WHERE len(words) > 0 UNION ALL SELECT doc_id, 'paragraph', flatten(list(words)) FROM g WHERE len(words) > 0 GROUP BY doc_id, par),
-m AS (SELECT doc_id, label, len(list_intersect(list_distinct(words), tokens)) / len(tokens) AS c, len(list_intersect(list_distinct(words), tokens)) * 10 >= len(tokens) * 8 AS ok FROM b JOIN t USING (kind)),
+b AS (SELECT doc_id, words FROM l WHERE len(words) > 0 UNION ALL SELECT doc_id, flatten(list(words)) FROM g WHERE len(words) > 0 GROUP BY doc_id, par),
+m AS (SELECT doc_id, label, len(list_intersect(list_distinct(words), tokens)) / len(tokens) AS c, len(list_intersect(list_distinct(words), tokens)) * 10 >= len(tokens) * 8 AS ok FROM b, t),
 s AS (SELECT doc_id, list(DISTINCT label) AS more, max(c) AS c FROM m WHERE ok GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, low AS first_word, high AS last_word, array_to_string(list_sort(coalesce(labels, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(more, [])))), ',') AS labels, CASE WHEN n > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score

@@ -63,7 +63,7 @@ class TokenTotals:
 
     def _committed(self, what: str) -> DataFrame | None:
         done, rows = self._read("commits"), self._read(what)
-        return rows.join(F.broadcast(done), "batch", "left_semi") if done is not None and rows is not None else None  # a row per batch
+        return rows.join(done, "batch", "left_semi") if done is not None and rows is not None else None
 
     def commit(self, batch: str, changes: DataFrame, counters: dict[str, Callable[[DataFrame], DataFrame]]) -> bool:
         """changes: doc_id, source, lang, text, and optionally deleted (boolean). False if the batch was committed before.
@@ -85,9 +85,10 @@ class TokenTotals:
         plus = last.where("not deleted").select("doc_id", *_KEYS, F.lit(1).cast("bigint").alias("docs"), F.col("n_tokens").alias("tokens"))
         before = self._committed("rows")
         if before is not None:
-            now = before.groupBy("doc_id", *_KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
+            # only the rows of documents that this batch touches are summed
             touched = last.select(F.col("doc_id").alias("id"), F.col("version").alias("v"))
-            minus = now.join(touched, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("version") == F.col("v")), "left_semi")
+            before = before.join(touched, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("version") == F.col("v")), "left_semi")
+            minus = before.groupBy("doc_id", *_KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
             plus = plus.unionByName(minus.withColumns({"docs": -F.col("docs"), "tokens": -F.col("tokens")}))
         path = f"{self.folder}/rows/batch={batch}"
         plus.write.mode("overwrite").parquet(path)
