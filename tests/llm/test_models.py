@@ -38,6 +38,25 @@ def test_bpe_equals_the_library_and_decodes(spark):
     assert bpe.round_trip(frame(spark, [])).count() == 0
 
 
+def test_bpe_takes_words_and_texts_of_any_length():
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    ranks = bpe.read_ranks(PATH)
+    coding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.Codec(ranks, bpe.merge_table(ranks), public_tokenizers.PATTERN)
+    words = ["the", "quick", "house", "inter", "national", "ing", "é"]
+    hard = ["".join(rng.choices(letters, k=20_000)), "".join(rng.choices(letters, k=200_000)), "".join(rng.choices(words, k=20_000)), "ab" * 8000, "=-" * 8000, "a" * 9000, "中文字符" * 9000, "x\n" * 50_000]
+    for x in hard:
+        got = codec.encode([x, "a b", ""])
+        assert [y.tolist() for y in got] == [coding.encode_ordinary(y) for y in (x, "a b", "")]
+        assert codec.decode(got) == [x.encode(), b"a b", b""]
+    many = " ".join(rng.choices(letters, k=12_000_000))
+    ids = codec.encode([many])[0]
+    assert len(ids) == 12_000_000 and hashlib.sha256(codec.decode([ids])[0]).digest() == hashlib.sha256(many.encode()).digest()
+    assert ids[:3_000].tolist() == coding.encode_ordinary(many[: 2 * 3_000 - 1])
+    assert codec.digest(ids[:700_000]) == hashlib.sha256(",".join(map(str, ids[:700_000].tolist())).encode()).hexdigest()
+
+
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((60, 16))
@@ -67,6 +86,29 @@ def test_vectors_match_brute_force(spark):
     assert embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_recall_of_near_vectors_as_registered(spark):
+    """Pairs exactly at and just above the threshold, and one bucket of many near copies, at the registered recall."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((3000, 32))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = rng.standard_normal(base.shape)
+    side -= (side * base).sum(1)[:, None] * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    other = 0.901 * base + np.sqrt(1 - 0.901**2) * side
+    near = base[0] + 0.02 * rng.standard_normal((700, 32))
+    x = np.concatenate([base, other, near])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = embedding_dedup(df, cosine=0.9).toPandas().set_index("vec_id").sort_index()
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    cosines = y @ y.T
+    want = (cosines >= 0.9).sum(1) - 1
+    found = got["n_links"].to_numpy()
+    assert (found <= want).all()
+    assert found[1:6000].sum() > 0.96 * want[1:6000].sum() and found[6000:].sum() > 0.999 * want[6000:].sum()
+    ties = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 1.0])], "vec_id bigint, embedding array<double>")
+    assert {r["vec_id"]: r["n_links"] for r in embedding_dedup(ties, cosine=0.6, recall=0.999999).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def test_classifier_on_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas().set_index("doc_id")["quality"]
@@ -118,6 +160,37 @@ def test_html(spark):
     assert html_extraction.extract(pages.limit(0)).count() == 0
 
 
+HAND = [
+    ("<body><header><a href=/>Site</a></header><main><h1>A title</h1><p>The first paragraph of it.</p><aside class='related'><h3>Related</h3><ul><li><a href=/x>Other thing</a></li></ul></aside><p>The second paragraph, which is longer than the first one.</p></main><footer>Copyright 2020</footer></body>", "A title The first paragraph of it. The second paragraph, which is longer than the first one."),
+    ("<div class='cookie-banner'><p>We use cookies to improve your experience.</p><button>Accept</button></div><article><h2>News</h2><p>Something happened today in the town.</p><blockquote>It was loud, they said.</blockquote></article><section class='comments'><h3>Comments</h3><div class='comment'><p>I was there too.</p></div></section>", "News Something happened today in the town. It was loud, they said."),
+    ("<div id='sidebar'><ul><li><a href=/a>Archive</a></li></ul></div><div class='post-content'><p>Only one paragraph is here.</p></div><form class='newsletter'><label>Subscribe</label><input></form>", "Only one paragraph is here."),
+    ("<nav><a href=/>Home</a> <a href=/b>Blog</a></nav><article><p>Before the advert there is text.</p><div class='ad'>Buy now</div><p>After the advert there is more.</p></article>", "Before the advert there is text. After the advert there is more."),
+    ("<article><h1>Lists &amp; tables</h1><ul><li>one item</li><li>two items</li></ul><p>An end.</p></article><div class='share'>Share this on</div><footer><p>&copy; All rights reserved</p></footer>", "Lists & tables one item two items An end."),
+]
+
+
+def test_hand_labelled_pages(spark):
+    pages = spark.createDataFrame([(i, "u", x) for i, (x, _) in enumerate(HAND)], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(pages).collect()}
+    assert sum(got[i] == want for i, (_, want) in enumerate(HAND)) >= 4, got
+
+
+def test_pages_of_any_length_and_depth():
+    model = html_extraction.trained()
+    long = "<article>" + "<p>some long text here.</p>" * 40_000 + "</article>"
+    deep = "".join(f"<div class='c{i}'>word{i} text" for i in range(20_000))
+    found = html_extraction.main_blocks(model, [html_extraction.blocks(x) for x in (long, deep, PAGE)])
+    assert len(found[0]) == 40_000 and found[2][0] == "A & B"
+    page = html_extraction.blocks("<nav><a>x</a></nav><article>" + "<p>some text.</p>" * 50 + "</article><footer>y</footer>")
+    x, mask, _ = html_extraction.padded([html_extraction.vectors(page)])
+    assert np.allclose(model.label(x, mask)[:, 0], model.label_long(page, together=7), atol=1e-5)
+
+
+def test_the_labeller_is_stored_once(spark):
+    first, second = html_extraction.stored(spark, 20, 1), html_extraction.stored(spark, 20, 1)
+    assert all((second.w[k] == v.astype(np.float32)).all() for k, v in first.w.items())
+
+
 def test_labeller_on_held_out_layouts():
     rng, wrong, n = np.random.default_rng(77), 0, 0
     model = html_extraction.trained()

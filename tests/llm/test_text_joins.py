@@ -209,14 +209,36 @@ def test_licenses(spark):
 
 def test_license_join_matches_brute_force(spark):
     rng = random.Random(2)
-    t = licenses.Template("x", "line", " ".join(f"t{i}" for i in range(20)))
+    t = licenses.Template("x", " ".join(f"t{i}" for i in range(20)))
     rows = []
     for i in range(200):
         w = [f"t{j}" for j in rng.sample(range(20), rng.randrange(10, 21))] + [f"z{j}" for j in range(rng.randrange(5))]
         rng.shuffle(w)
         rows.append((i, "\n".join([" ".join(w), "t1 t2", ""]), ""))
     got = {r["doc_id"] for r in licenses.license_scan(frame(spark, rows), (t,), ()).collect() if r["matches"]}
-    assert got == {i for i, x, _ in rows if len({w for w in x.split("\n")[0].split() if w[0] == "t"}) >= 16}
+    # the paragraph of both lines is a block as well as each line
+    assert got == {i for i, x, _ in rows if len({w for w in x.split() if w[0] == "t"}) >= 16}
+
+
+BSD = """// Redistribution and use in source and binary forms, with or without
+// modification, are permitted provided that the following conditions are met:
+//
+//    * Redistributions of source code must retain the above copyright notice,
+//      this list of conditions and the following disclaimer."""
+
+
+def test_wrapped_notices_and_whole_licenses(spark):
+    import duckdb
+
+    from tessera.llm import queries
+
+    texts = ["Licensed under CC BY-NC\n4.0", "This work is licensed under a Creative Commons\nAttribution 4.0\nInternational License", BSD, "# " + licenses.TEMPLATES[7].text.replace(" OR ", "\n# OR "), "licensed cc by", "a list of the conditions of this notice and the following in the above\n\nand of this copyright"]
+    docs = frame(spark, [(i, x, "") for i, x in enumerate(texts)])
+    got = {r["doc_id"]: {licenses.TEMPLATES[m["template"]].label for m in r["matches"]} for r in licenses.license_scan(docs).collect()}
+    assert got == {0: {"cc-by-nc"}, 1: {"cc-by"}, 2: {"bsd"}, 3: {"mit"}, 4: set(), 5: set()}
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toPandas())
+    assert {i: {*x.split(",")} - {""} for i, x in con.sql(f"select doc_id, labels from ({queries.ORACLES['op2_license_scan']})").fetchall()} == got
 
 
 def brute_rules(x):
@@ -246,6 +268,46 @@ def test_quality_rules_match_brute_force(spark):
     assert quality_rules.quality_rules(frame(spark, [])).count() == 0
 
 
+def test_a_costly_rule_comes_last_and_is_not_evaluated(spark):
+    docs = frame(spark, [(i, f"{PROSE} {i}", "") for i in range(3000)])
+    cheap = quality_rules.Rule("cheap", "{n_symbols} = 0")
+    costly = quality_rules.Rule("costly", "size(array_distinct(transform(sequence(1, 3000), i -> sha2(concat({text}, i), 256)))) > 0")
+    assert [r.name for r in quality_rules.rule_order(docs, rules=(costly, cheap), rows=300)] == ["cheap", "costly"]
+    raising = quality_rules.Rule("raising", "raise_error('evaluated') is null")
+    verdict = quality_rules.first_rejection([cheap, raising], {"text": "text"})
+    assert {r[0] for r in docs.select(verdict).collect()} == {"cheap"}
+    got = quality_rules.quality_rules(docs.select("doc_id", F.col("text").alias("lines"), F.lit(7).alias("_words"), F.lit("x").alias("kept")), "lines", rules=quality_rules.BASE_RULES).first()
+    assert got["_words"] == 7 and got["lines"].startswith(PROSE) and got["kept"] is True and "text" not in got
+
+
+def test_helper_names_never_clash(spark):
+    names = ("blob_id", "_blob_id", "mix_id", "mix_size", "mix_words", "mix_taken", "mix_times", "copy_rows", "copy_gone", "copy_at", "kept", "words", "lines", "row", "size", "src", "taken", "__text")
+    docs = frame(spark, [(i, f"{PROSE} token{i} secret=abcdef{i}", "s") for i in range(5)]).select("doc_id", "text", "source", *(F.lit(x).alias(x) for x in names))
+    own = lambda df: {tuple(r[x] for x in names) for r in df.select(*names).collect()}
+    assert own(secrets.redact(secrets.secret_scan(docs))) == {names}
+    assert own(mixing.mixed_documents(docs)) == {names}
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for stage in (pipeline.keep_quality, pipeline.keep_one_of_each, pipeline.redact_secrets, pipeline.mix):
+        found = stage(spark, docs, "")
+        assert found.columns == docs.columns and own(found) <= {names}
+
+
+def test_pipeline_stages_take_odd_rows(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, None, "s"), (2, "", "s"), (3, " \n", None), (None, PROSE, "s"), (4, PROSE, None), (4, PROSE, None), (5, PROSE.upper(), "t"), (6, "secret=abcdefgh " + " ".join(f"u{i}" for i in range(90)), "t"), (7, "x" * 300000, "t")]
+    docs = frame(spark, rows).select("doc_id", "text", "source", "lang")
+    want = {pipeline.keep_quality: None, pipeline.keep_one_of_each: [(None, PROSE), (1, None), (2, ""), (3, " \n"), (4, PROSE), (6, rows[7][1]), (7, rows[8][1])], pipeline.redact_secrets: [(i, (x or "").replace("secret=abcdefgh", "[secret]") if x else x) for i, x, _ in rows], pipeline.mix: None, pipeline.encode: None}
+    for stage, found in want.items():
+        got = [(r[0], r["text"] if "text" in r else None) for r in stage(spark, docs, "").collect()]
+        if found is not None:
+            assert sorted(got, key=str) == sorted(found, key=str)
+        assert {i for i, _ in got} <= {i for i, *_ in rows}
+        assert stage(spark, docs.limit(0), "").count() == 0
+    kept = pipeline.keep_quality(spark, docs, "").where("doc_id in (1, 2, 3)").count()
+    assert kept == 0 and pipeline.encode(spark, docs, "").count() == len(rows)
+    assert {r["doc_id"] for r in pipeline.mix(spark, docs, "").collect()}.isdisjoint({1, 2, 3})
+
+
 def test_targets_share_by_weight_below_the_cap():
     got = mixing.targets([10, 1000, 1000], [5, 2, 1], 1.5, 2.0)
     assert got[0] == 20 and sum(got) == pytest.approx(3015) and got[1] <= 2000 and got[2] <= 2000
@@ -275,6 +337,40 @@ def test_mix(spark):
     assert mixing.mix_sources(frame(spark, [])).taken().count() == 0
 
 
+def test_mix_of_a_huge_document_and_running_sums(spark):
+    rows = [(1, "w " * 300_000, "a"), (2, "v " * 10, "b")]
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(frame(spark, rows)).taken().collect()}
+    assert got[2] == 20 and abs(got[1] - (1.5 * 300_010 - 20)) < 64
+    rng = random.Random(2)
+    values = [(s, at, rng.randrange(9)) for s in (0, 1) for at in range(50)]
+    found = {(r["src"], r["at"]): r["start"] for r in mixing.starts(spark.createDataFrame(values, "src int, at bigint, v bigint"), "at", "v", run=7).collect()}
+    assert found == {(s, at): sum(v for t, b, v in values if t == s and b < at) for s, at, _ in values}
+
+
+def test_token_totals_match_brute_force(spark, tmp_path):
+    import public_tokenizers
+    import tiktoken
+
+    from tessera.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rows = [(1, "a b  cé", "x"), (2, None, None), (None, "null id", "x"), (None, "null id again", "x"), (3, "<|endoftext|>", "y"), (4, "", "y")]
+    t = token_counts.TokenTotals(spark, str(tmp_path / "t"))
+    counters = {"w": token_counts.word_counter, "b": token_counts.rank_counter(path, public_tokenizers.PATTERN)}
+    frame(spark, [(9, "cut off", "x")]).limit(0).select(F.lit(9).alias("doc_id"), "source", "lang", F.lit("w").alias("version"), F.lit(1).cast("bigint").alias("docs"), F.lit(5).cast("bigint").alias("tokens")).write.parquet(str(tmp_path / "t" / "rows" / "batch=1"))  # left by a commit that was cut off
+    t.commit("1", frame(spark, rows), counters)
+    changed = [(1, "other words here", "y"), (5, "new", "x")]
+    t.commit("2", frame(spark, changed), counters)
+    last = {i: (x, s) for i, x, s in [*rows[:2], rows[3], *rows[4:], *changed]}  # of rows with one id, the one that sorts last
+    want = collections.defaultdict(lambda: [0, 0])
+    for x, s in last.values():
+        for version, n in (("w", len((x or "").split())), ("b", len(coding.encode_ordinary(x or "")))):
+            want[s, version][0] += 1
+            want[s, version][1] += n
+    assert {(r["source"], r["version"]): [r["n_docs"], r["n_tokens"]] for r in t.totals().collect()} == dict(want)
+
+
 def test_token_totals_are_additive_and_idempotent(spark, tmp_path):
     t = token_counts.TokenTotals(spark, str(tmp_path / "t"))
     assert t.totals().count() == 0
