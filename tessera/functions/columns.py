@@ -70,4 +70,35 @@ def cosine(a: Column, b: Column) -> Column:
 
 def basis_points(part: Column, whole: Column) -> Column:
     """Truncated; 0 of an empty whole."""
-    return F.when(whole == 0, F.lit(0)).otherwise(F.expr("0") + F.floor(part * 10000 / whole)).cast("bigint")
+    return F.when(whole == 0, F.lit(0)).otherwise((part * 10000 / whole).cast("bigint")).cast("bigint")
+
+
+def regression_bps(baseline: Column, candidate: Column, lower_is_better: bool = False) -> Column:
+    """How much worse the candidate is, in rounded basis points of the baseline; 0 without a positive baseline."""
+    worse = candidate - baseline if lower_is_better else baseline - candidate
+    return F.when(baseline > 0, F.bround(worse / baseline * 10000)).otherwise(0.0).cast("bigint")
+
+
+def dotted_tails(name: Column) -> Column:
+    """A qualified name (A::b.c or A#b) and the names that it ends in, longest first."""
+    parts = F.split(F.regexp_replace(name, "::|#", "."), r"\.")
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
+
+
+def error_code(message: Column) -> Column:
+    """The code of a message: in brackets, before a colon, or by its wording."""
+    text = F.trim(message)
+    low, bracket = F.lower(text), F.upper(F.trim(F.regexp_extract(text, r"^[^\[]*\[([^\]]*)\]", 1)))
+    has = lambda *xs: F.expr("true") if not xs else F.contains(low, F.lit(xs[0])) & has(*xs[1:])
+    return (F.when(F.startswith(bracket, F.lit("ERR_")), bracket).when(F.startswith(text, F.lit("ERR_")), F.trim(F.split_part(text, F.lit(":"), F.lit(1))))
+            .when(has("soft limit", "lsp"), "ERR_LSP_GLOBAL_SOFT_LIMIT").when(has("slot exhausted", "lsp"), "ERR_LSP_SLOT_EXHAUSTED")
+            .when(has("workspace contains", "no ", "contains"), "ERR_LSP_WORKSPACE_MISMATCH").when(has("project model missing"), "ERR_CONFIG_INVALID")
+            .when(has("project not found") | has("no workspace contains"), "ERR_LSP_DOCUMENT_SYMBOL_FAILED").otherwise("ERR_LSP_EXTRACT_FAILED"))
+
+
+#: Codes of errors that do not pass.
+PERMANENT_ERRORS = ("ERR_LSP_SERVER_MISSING", "ERR_LSP_SERVER_SPAWN_FAILED", "ERR_RUNTIME_MISMATCH", "ERR_CONFIG_INVALID", "ERR_LSP_WORKSPACE_MISMATCH")
+
+
+def failure_kind(code: Column) -> Column:
+    return F.when(code.isin(*PERMANENT_ERRORS), "PERMANENT_UNAVAILABLE").otherwise("TRANSIENT_FAIL")

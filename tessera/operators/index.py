@@ -16,7 +16,7 @@ def substring_scan(files: DataFrame, query: str, limit: int) -> DataFrame:
 def list_files(files: DataFrame, root: str, limit: int, prefix: str | None = None, by: str = "repo_root") -> DataFrame:
     own = files.where((F.col(by) == root) & ~F.col("is_deleted"))
     if prefix:
-        own = own.where(F.startswith("relative_path", F.lit(prefix)))
+        own = own.where(F.startswith(F.lower("relative_path"), F.lit(prefix.lower())))
     return own.orderBy("relative_path", "repo_root").limit(limit).select("repo_root", "relative_path", "size_bytes", "content_hash", "enrich_state")
 
 
@@ -79,15 +79,31 @@ def callees(edges: DataFrame, symbol: str, limit: int) -> DataFrame:
     return edges.where(F.col("from_symbol") == symbol).orderBy("to_symbol", "line").limit(limit).select("from_symbol", "to_symbol", "relative_path", "line")
 
 
-def suffix_callers(edges: DataFrame, suffix: str) -> DataFrame:
-    """Callees that end in the suffix behind a separator; short or qualified suffixes match nothing."""
-    ok = len(suffix) >= 3 and not any(x in suffix for x in (".", "::", "#"))
-    return edges.where(F.regexp_like("to_symbol", F.lit(f"(?i)(_|[.]|::|#){suffix}$")) & F.lit(ok)).groupBy("to_symbol").agg(F.count("*").alias("n"))
-
-
-def call_graph(edges: DataFrame) -> DataFrame:
-    """By symbol: distinct callers and files, greatest confidence."""
-    return edges.groupBy("to_symbol").agg(F.countDistinct("from_symbol").alias("callers"), F.countDistinct("relative_path").alias("files"), F.max("confidence").alias("confidence"), F.array_join(F.array_sort(F.collect_set("relative_path")), ",").alias("paths"))
+def suffix_callers(edges: DataFrame, suffix: str, limit: int) -> DataFrame:
+    """Callers of the symbol or, if it has none by its exact name, of symbols that end in it behind a separator. As in a
+    LIKE pattern, _ and % of the name stand for any text there; short or qualified names match by the exact name alone."""
+    path = F.coalesce("caller_relative_path", "relative_path")
+    exact = edges.where(F.col("to_symbol") == suffix)
+    found = exact
+    if len(suffix) >= 3 and not any(x in suffix for x in (".", "::", "#")):
+        none = exact.agg((F.count("*") == 0).alias("none"))  # one row
+        ends = [F.col("to_symbol").ilike(f"%{x}{suffix}") for x in (".", "::", "#")]
+        loose = edges.where(ends[0] | ends[1] | ends[2]).crossJoin(F.broadcast(none)).where("none").drop("none")
+        found = exact.unionByName(loose)
+    return found.withColumn("path", path).orderBy("path", "line", "from_symbol", "to_symbol").limit(limit).select("from_symbol", "to_symbol", "path", "line")
+
+
+def call_graph(edges: DataFrame, most_paths: int = 100) -> DataFrame:
+    """By symbol: distinct callers and files, greatest confidence, and the first `most_paths` of the paths. Distinct pairs
+    are counted after a first aggregation, so no set of a hot symbol is held in a row; paths are cut by rank before they
+    are collected."""
+    pairs = edges.groupBy("to_symbol", "from_symbol").agg(F.max("confidence").alias("confidence"))
+    callers = pairs.groupBy("to_symbol").agg(F.count("from_symbol").alias("callers"), F.max("confidence").alias("confidence"))
+    paths = edges.groupBy("to_symbol", "relative_path").agg(F.lit(1).alias("one"))
+    first = paths.withColumn("n", F.row_number().over(Window.partitionBy("to_symbol").orderBy("relative_path"))).where(F.col("n") <= most_paths)
+    first = first.groupBy("to_symbol").agg(F.array_join(F.sort_array(F.collect_list("relative_path")), ",").alias("paths"))
+    files = paths.groupBy("to_symbol").agg(F.count("relative_path").alias("files"))
+    return callers.join(files, "to_symbol").join(first, "to_symbol").select("to_symbol", "callers", "files", "confidence", "paths")
 
 
 def orphan_edges(edges: DataFrame, symbols: DataFrame) -> DataFrame:

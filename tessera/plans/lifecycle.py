@@ -143,10 +143,13 @@ def r09_token_bucket(jobs):
     return L.token_bucket(jobs, "user_id", "event_id", 86400, 3)
 
 
-@query("SELECT start, CASE WHEN bps > 2500 THEN 'critical' WHEN bps > 1500 THEN 'warn' ELSE 'ok' END AS state, bps > 1500 AS held FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, floor(count(*) FILTER (WHERE status = 'DEAD') * 10000 / count(*))::BIGINT AS bps FROM jobs GROUP BY 1)", "jobs")
+@query("""WITH a AS (SELECT start, CASE WHEN bps > 2500 THEN 'critical' WHEN bps > 1500 THEN 'warn' ELSE 'ok' END AS state FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, floor(count(*) FILTER (WHERE status = 'DEAD') * 10000 / count(*))::BIGINT AS bps FROM jobs GROUP BY 1)),
+h AS (SELECT *, state <> 'ok' AS held, coalesce(lag(state <> 'ok') OVER (ORDER BY start), false) AS was FROM a)
+SELECT start, state, held, CASE WHEN held AND NOT was THEN 'HOLD_ENABLED' WHEN NOT held AND was THEN 'HOLD_RELEASED' ELSE 'NO_CHANGE' END AS action FROM h""", "jobs")
 def r16_auto_hold(jobs):
     t = jobs.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("start")).agg(C.basis_points(F.count_if(F.col("status") == "DEAD"), F.count("*")).alias("bps"))
-    return t.select("start", F.when(F.col("bps") > 2500, "critical").when(F.col("bps") > 1500, "warn").otherwise("ok").alias("state"), (F.col("bps") > 1500).alias("held"))
+    t = t.select("start", F.when(F.col("bps") > 2500, "critical").when(F.col("bps") > 1500, "warn").otherwise("ok").alias("state"))
+    return L.auto_hold(t, "start", "state")
 
 
 @query("SELECT conv_id, round(CASE WHEN count(*) FILTER (WHERE role = 'user') = 0 THEN 0 ELSE count(*) FILTER (WHERE role = 'assistant') / count(*) FILTER (WHERE role = 'user') END, 6)::DOUBLE AS ratio, max(turn) AS last_turn FROM conversations GROUP BY 1", "conversations")

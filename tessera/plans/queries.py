@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import index as I
+from tessera.operators import lifecycle as L
 from tessera.operators import search as S
-from tessera.plans import lifecycle  # noqa: F401 (registers its queries)
+from tessera.plans import layers, lifecycle  # noqa: F401 (register their queries)
 from tessera.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
 NOW = "timestamp_ntz '1996-06-30 00:00:00'"
@@ -19,9 +20,9 @@ def s07_substring_scan(files):
     return I.substring_scan(files, "the", 50)
 
 
-@query("SELECT repo_root, relative_path, size_bytes, content_hash, enrich_state FROM files WHERE repo_root = '/ws/src3' AND NOT is_deleted AND starts_with(relative_path, 'lib/') ORDER BY relative_path LIMIT 100", "files")
+@query("SELECT repo_root, relative_path, size_bytes, content_hash, enrich_state FROM files WHERE repo_root = '/ws/src3' AND NOT is_deleted AND starts_with(lower(relative_path), 'lib/') ORDER BY relative_path LIMIT 100", "files")
 def s12_list_files(files):
-    return I.list_files(files, "/ws/src3", 100, "lib/")
+    return I.list_files(files, "/ws/src3", 100, "LIB/")
 
 
 @query("SELECT repo_root, relative_path, size_bytes, content_hash, enrich_state FROM files WHERE scope_repo_root = '/ws' AND NOT is_deleted ORDER BY relative_path, repo_root LIMIT 200", "files")
@@ -61,9 +62,15 @@ def f03_implementations(symbols):
     return I.symbol_search(symbols.where(F.contains("name", F.lit("e")) & ~F.regexp_like("relative_path", F.lit("(site-packages|build|dist|venv)/"))), "", 50)
 
 
-@query("SELECT to_symbol, count(*) AS n FROM edges WHERE regexp_matches(to_symbol, '(?i)(_|[.]|::|#)101$') GROUP BY to_symbol", "edges")
-def f05_suffix_callers(edges):
-    return I.suffix_callers(edges, "101")
+@query("""SELECT from_symbol, to_symbol, coalesce(caller_relative_path, relative_path) AS path, line FROM calls WHERE to_symbol = 'src1' OR ((SELECT count(*) FROM calls WHERE to_symbol = 'src1') = 0 AND (to_symbol ILIKE '%.src1' OR to_symbol ILIKE '%::src1' OR to_symbol ILIKE '%#src1'))
+ORDER BY path, line, from_symbol, to_symbol LIMIT 100""", "calls")
+def f05_suffix_callers(calls):
+    return I.suffix_callers(calls, "src1", 100)
+
+
+@query("SELECT from_symbol, to_symbol, coalesce(caller_relative_path, relative_path) AS path, line FROM calls WHERE to_symbol = 'run_job' ORDER BY path, line, from_symbol, to_symbol LIMIT 100", "calls")
+def h01_exact_before_suffix(calls):
+    return I.suffix_callers(calls, "run_job", 100)
 
 
 @query("SELECT CASE ext WHEN '.py' THEN 'python' WHEN '.java' THEN 'java' WHEN '.md' THEN 'markdown' ELSE 'unknown' END AS language, count(*) AS n FROM (SELECT lower(regexp_extract(relative_path, '(\\.[^./]+)$', 1)) AS ext FROM files) GROUP BY 1", "files")
@@ -184,11 +191,6 @@ def g35_top_symbols(edges):
     return S.fan_in(edges).orderBy(F.desc("fan_in"), "to_symbol").limit(20)
 
 
-@query("SELECT f.doc_id, q.quality FROM files f JOIN labels q ON f.doc_id = q.doc_id WHERE NOT f.is_deleted", "files", "labels")
-def j01_live_layer_join(files, labels):
-    return files.where("not is_deleted").join(labels, "doc_id").select("doc_id", "quality")
-
-
 @query("SELECT e.repo_root, e.relative_path, e.from_symbol, e.to_symbol, e.line FROM edges e WHERE NOT EXISTS (SELECT 1 FROM symbols s WHERE s.symbol_key = e.to_symbol AND s.relative_path = e.relative_path)", "edges", "symbols")
 def j06_orphan_edges(edges, symbols):
     return I.orphan_edges(edges, symbols).select("repo_root", "relative_path", "from_symbol", "to_symbol", "line")
@@ -369,11 +371,11 @@ def g25_case_deltas(jobs):
 
 
 @query("""WITH m AS (SELECT event_type, avg(latency_ms) FILTER (WHERE user_id % 2 = 0) AS base, avg(latency_ms) FILTER (WHERE user_id % 2 = 1) AS cand FROM jobs GROUP BY 1)
-SELECT event_type, floor((cand - base) * 10000 / base)::BIGINT AS bps, (cand - base) * 10000 / base > 500 AS fails FROM m""", "jobs")
+SELECT event_type, CASE WHEN base > 0 THEN round_even((base - cand) / base * 10000, 0) ELSE 0 END::BIGINT AS bps, CASE WHEN base > 0 THEN round_even((base - cand) / base * 10000, 0) ELSE 0 END > 500 AS fails FROM m""", "jobs")
 def g27_regression_bps(jobs):
     base, cand = (F.avg(F.when(F.col("user_id") % 2 == i, F.col("latency_ms"))) for i in (0, 1))
-    bps = (cand - base) * 10000 / base
-    return jobs.groupBy("event_type").agg(F.floor(bps).cast("bigint").alias("bps"), (bps > 500).alias("fails"))
+    t = jobs.groupBy("event_type").agg(base.alias("base"), cand.alias("cand")).withColumn("bps", C.regression_bps(F.col("base"), F.col("cand")))
+    return t.select("event_type", "bps", (F.col("bps") > 500).alias("fails"))
 
 
 @query("""SELECT lang, count(*) AS n, round(100.0 * count(*) FILTER (WHERE enrich_state = 'TOOL_READY') / count(*), 6)::DOUBLE AS available_pct, 100.0 * count(*) FILTER (WHERE enrich_state = 'TOOL_READY') / count(*) >= 98 AS passes FROM files GROUP BY lang""", "files")
@@ -382,14 +384,6 @@ def g30_language_matrix(files):
     return files.groupBy("lang").agg(F.count("*").alias("n"), F.round(pct.cast("double"), 6).alias("available_pct"), (pct >= 98).alias("passes"))
 
 
-@query("""SELECT doc_id, CASE WHEN d >= 0.3 THEN 'upgrade' ELSE 'keep' END AS decision, edges FROM (SELECT f.doc_id, l.quality * 0.5 AS d, coalesce(e.n, 0) AS edges FROM files f JOIN labels l ON l.doc_id = f.doc_id
-LEFT JOIN (SELECT line, count(*) AS n FROM edges GROUP BY line) e ON e.line = f.doc_id % 7 WHERE NOT f.is_deleted)""", "files", "labels", "edges")
-def j02_upgrade_candidates(files, labels, edges):
-    grouped = edges.groupBy("line").agg(F.count("*").alias("edges"))
-    t = files.where("not is_deleted").join(labels, "doc_id").withColumn("line", F.col("doc_id") % 7).join(grouped, "line", "left")
-    return t.select("doc_id", F.when(F.col("quality") * 0.5 >= 0.3, "upgrade").otherwise("keep").alias("decision"), F.coalesce("edges", F.lit(0)).alias("edges"))
-
-
 @query("SELECT content_hash, CASE WHEN count(DISTINCT repo_root) = 1 THEN min(repo_root) END AS root FROM files WHERE NOT is_deleted GROUP BY 1", "files")
 def j05_effective_root(files):
     return files.where("not is_deleted").groupBy("content_hash").agg(F.when(F.countDistinct("repo_root") == 1, F.min("repo_root")).alias("root"))
@@ -478,7 +472,7 @@ def e02_page_outline(pages):
     return pages.select("page_id", F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("title"), F.regexp_count("html", F.lit("<p>")).cast("bigint").alias("paragraphs"))
 
 
-@query("""SELECT doc_id, lang, max(CASE WHEN n <= 128 THEN n END) AS kept FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM files) WHERE n <= 128 GROUP BY 1, 2""", "files")
+@query("""WITH k AS (SELECT lang, content_hash, min(doc_id) AS seen FROM files GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY seen DESC, content_hash DESC) AS n FROM k)
+SELECT lang, count(*) AS items, sha256(string_agg(content_hash, ',' ORDER BY seen, content_hash)) AS bundle_id FROM r WHERE n <= 128 GROUP BY 1""", "files")
 def r21_bundle_items(files):
-    w = Window.partitionBy("lang").orderBy("doc_id")
-    return files.select("doc_id", "lang", F.row_number().over(w).cast("bigint").alias("kept")).where("kept <= 128")
+    return L.bundle(files, "lang", "doc_id", "content_hash")

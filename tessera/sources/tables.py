@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-FILES = """select concat('/ws/', source) as repo_root, '/ws' as scope_repo_root,
+#: A file's repository and path, as every view over documents has them.
+_FILE = """concat('/ws/', source) as repo_root,
   concat(case when doc_id % 5 = 0 then 'src/' when doc_id % 5 = 1 then 'tests/' when doc_id % 5 = 2 then 'app/core/' else 'lib/' end, lang, '/doc_', cast(doc_id as {string}),
-    case when doc_id % 4 = 0 then '.py' when doc_id % 4 = 1 then '.java' when doc_id % 4 = 2 then '.md' else '.lock' end) as relative_path,
-  doc_id, n_chars as size_bytes, {sha}, (doc_id % 17 = 0) as is_deleted, lang,
+    case when doc_id % 4 = 0 then '.py' when doc_id % 4 = 1 then '.java' when doc_id % 4 = 2 then '.md' else '.lock' end) as relative_path"""
+FILES = f"""select {_FILE}, '/ws' as scope_repo_root,
+  doc_id, n_chars as size_bytes, {{hash}} as content_hash, (doc_id % 17 = 0) as is_deleted, lang,
   case when doc_id % 6 = 0 then 'PENDING' when doc_id % 6 = 1 then 'BODY_READY' when doc_id % 6 = 2 then 'LSP_READY' when doc_id % 6 = 3 then 'L3_SKIPPED' when doc_id % 6 = 4 then 'FAILED' else 'TOOL_READY' end as enrich_state,
   text from documents"""
+#: Layers of a file's analysis, each at the content hash that it was made from; some are of an older hash.
+_HASH = "case when doc_id % {stale} = 0 then 'older' else {{hash}} end as content_hash"
+L4 = f"select {_FILE}, doc_id, {_HASH.format(stale=13)}, cast(case when doc_id % 3 = 0 then 0.35 else 0.9 end as double) as confidence, doc_id % 3 = 0 as degraded from documents where doc_id % 4 <> 3"
+L5 = (f"select {_FILE}, {_HASH.format(stale=11)}, case when doc_id % 2 = 0 then 'low_confidence' else 'interactive' end as reason_code, cast(doc_id % 6 as {{string}}) as relations from documents where doc_id % 5 < 2"
+      f" union all select {_FILE}, {_HASH.format(stale=11)}, 'refresh' as reason_code, '0' as relations from documents where doc_id % 15 = 0")
+READY = f"select {_FILE}, {_HASH.format(stale=7)}, doc_id % 2 = 0 as callers_ready from documents where doc_id % 9 <> 0"
+CALLS = f"""select {_FILE}, {_HASH.format(stale=19)}, concat('fn_', lang, cast(doc_id % 50 as {{string}})) as from_symbol, case when doc_id % 3 = 0 then null else concat('src/', lang, '/caller_', cast(doc_id % 30 as {{string}}), '.py') end as caller_relative_path,
+  case when doc_id % 10 = 0 then 'run_job' else concat('pkg', cast(doc_id % 3 as {{string}}), case when doc_id % 4 = 0 then '.' when doc_id % 4 = 1 then '::' when doc_id % 4 = 2 then '#' else '_' end, source) end as to_symbol,
+  n_chars % 50 as line, cast(doc_id % 8 as double) / 8 as confidence from documents"""
 EDGES = """select concat('/ws/supp', cast(l_suppkey as {string})) as repo_root, concat('m', cast(l_linenumber as {string}), '.py') as relative_path,
   case when l_linenumber % 3 = 0 then null else concat('caller_', cast(l_orderkey % 97 as {string}), '.py') end as caller_relative_path,
   concat('fn_', cast(l_orderkey as {string})) as from_symbol, concat('sym_', cast(l_partkey as {string})) as to_symbol, l_linenumber as line, cast(l_discount as double) as confidence from lineitem"""
@@ -19,8 +30,8 @@ QUEUE = """select o_orderkey as job_id, concat('/ws/c', cast(o_custkey % 20 as {
 JOBS = "select event_id, user_id, ts, event_type, case when event_type = 'error' then 'DEAD' else 'DONE' end as status, value as latency_ms from events"
 SYMBOLS = """select concat('sym_', cast(p_partkey as {string})) as symbol_key, p_name as name, case p_partkey % 5 when 0 then 'class' when 1 then 'function' when 2 then 'interface' when 3 then 'method' else 'field' end as kind,
   p_size % 4 as depth, p_brand as container_name, case when p_partkey >= 10 then concat('sym_', cast(floor(p_partkey / 10) as {whole})) end as parent_key, p_partkey as line, concat('m', cast(p_partkey % 7 + 1 as {string}), '.py') as relative_path from part"""
-VIEWS = {"files": FILES, "edges": EDGES, "queue": QUEUE, "jobs": JOBS, "symbols": SYMBOLS}
-_TABLES = {"files": "documents", "edges": "lineitem", "queue": "orders", "jobs": "events", "symbols": "part"}
+VIEWS = {"files": FILES, "edges": EDGES, "queue": QUEUE, "jobs": JOBS, "symbols": SYMBOLS, "l4": L4, "l5": L5, "ready": READY, "calls": CALLS}
+_TABLES = {"files": "documents", "edges": "lineitem", "queue": "orders", "jobs": "events", "symbols": "part"} | dict.fromkeys(("l4", "l5", "ready", "calls"), "documents")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,12 +40,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A model table over the given parquet tables; columns that a query does not use are never read."""
-    text = VIEWS[name].format(string="string", whole="string", sha="sha2(text, 256) as content_hash").replace(f"from {_TABLES[name]}", "from {rows}")
+    text = VIEWS[name].format(string="string", whole="string", hash="sha2(text, 256)").replace(f"from {_TABLES[name]}", "from {rows}")
     return spark.sql(text, rows=read_table(spark, sf_dir, _TABLES[name]))
 
 
 def with_views(sql: str) -> str:
     """The query with the model tables as DuckDB common table expressions."""
-    views = ", ".join(f"{k} AS ({v.format(string='varchar', whole='bigint', sha='sha256(text) as content_hash')})" for k, v in VIEWS.items()).replace("cast(floor(p_partkey / 10) as bigint)", "cast(cast(floor(p_partkey / 10) as bigint) as varchar)")
+    views = ", ".join(f"{k} AS ({v.format(string='varchar', whole='bigint', hash='sha256(text)')})" for k, v in VIEWS.items()).replace("cast(floor(p_partkey / 10) as bigint)", "cast(cast(floor(p_partkey / 10) as bigint) as varchar)")
     rest = sql.strip()
     return f"WITH RECURSIVE {views}, {rest[5:]}" if rest[:5].upper() == "WITH " else f"WITH {views} {rest}"
