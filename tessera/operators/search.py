@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import zlib
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
+from tessera.operators import lifecycle as L
 
 TOKEN = "[0-9a-zA-Z_]+"
 
@@ -16,24 +19,56 @@ def query_terms(query: str) -> list[str]:
     return sorted({x.lower() for x in re.findall(TOKEN, query)})
 
 
-def _count(text, term: str):
-    """Tokens of the text equal to the term, ignoring ASCII case."""
-    return F.regexp_count(text, F.lit(f"(?i)(?<![0-9a-zA-Z_]){term}(?![0-9a-zA-Z_])"))
+#: Parts of an index, by the checksum of a term.
+BUCKETS = 64
+
+
+class Index:
+    """Postings of text fields, written once to a folder that all executors share: (key, field, term, tf, len), in parts
+    by term, so that a query reads no text and only the parts of its terms."""
+
+    def __init__(self, spark: SparkSession, folder: str, key_type: str):
+        self.spark, self.folder, self.key_type = spark, folder, key_type
+
+    @staticmethod
+    def write(docs: DataFrame, key: str, fields: tuple[str, ...], folder: str) -> Index:
+        """Null fields are empty. Tokens are runs of ASCII letters, digits and underscores, lower-cased."""
+        tokens = lambda f: F.regexp_extract_all(F.coalesce(F.col(f), F.lit("")), F.lit(TOKEN), F.lit(0))
+        t = docs.select(F.col(key).alias("key"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(f).alias("tokens")) for f in fields))).alias("x")).select("key", "x.field", "x.tokens", F.size("x.tokens").alias("len"))
+        t = t.select("key", "field", "len", F.explode_outer("tokens").alias("term"))
+        t = t.groupBy("key", "field", "len", F.lower("term").alias("term")).agg(F.count("term").alias("tf"))
+        t = t.withColumn("bucket", F.coalesce(F.crc32(F.col("term").cast("binary")) % BUCKETS, F.lit(BUCKETS)))
+        # few files of even size a part: adaptive execution splits the parts of very frequent terms
+        t.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{folder}/postings")
+        found = Index(docs.sparkSession, folder, docs.schema[key].dataType.simpleString())
+        # a document once a field; a field without a token is a row without a term
+        stats = found.postings().groupBy("field", "key").agg(F.max("len").alias("len")).groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+        stats.coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
+        return found
+
+    def postings(self, terms: list[str] | None = None) -> DataFrame:
+        schema = f"key {self.key_type}, field string, len int, term string, tf bigint, bucket int"
+        found = self.spark.read.schema(schema).parquet(f"{self.folder}/postings")
+        if terms is None:
+            return found
+        return found.where(F.col("bucket").isin(*sorted({zlib.crc32(x.encode()) % BUCKETS for x in terms})) & F.col("term").isin(*terms))
+
+    def stats(self) -> DataFrame:
+        """A row a field: the number of documents and their mean length."""
+        return self.spark.read.schema("field string, n bigint, mean double").parquet(f"{self.folder}/stats")
 
 
-def bm25(docs: DataFrame, query: str, text: str, key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of the rows that hold a term of the query. The statistics are one row; only the query's terms
-    leave the scan, already counted."""
+def bm25(index: Index, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, score) of the documents that hold a term of the query, summed over fields and terms."""
     terms = query_terms(query)
-    body = F.coalesce(text, F.lit(""))
-    t = docs.select(key, F.regexp_count(body, F.lit(TOKEN)).alias("len"), *(_count(body, w).alias(f"tf{i}") for i, w in enumerate(terms)))
-    stats = t.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
-    t = t.crossJoin(F.broadcast(stats))  # one row
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        score += F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return t.withColumn("score", score).where(F.greatest(F.lit(0), *(F.col(f"tf{i}") for i in range(len(terms)))) > 0).select(key, "score")
+    if not terms:
+        return index.postings([""]).select("key", F.lit(0.0).alias("score"))
+    hits = index.postings(terms)
+    # a row for each field and term of the query, at most
+    about = hits.groupBy("field", "term").agg(F.count("*").alias("df")).join(index.stats(), "field")
+    t = hits.select("key", "field", "term", "tf", "len").join(F.broadcast(about), ["field", "term"])
+    score = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    return t.groupBy("key").agg(F.sum(score).alias("score"))
 
 
 def top(df: DataFrame, limit: int, *order) -> DataFrame:
@@ -72,12 +107,38 @@ def fan_in(edges: DataFrame) -> DataFrame:
     return edges.groupBy("to_symbol").agg(F.countDistinct(caller).alias("fan_in"))
 
 
-def search_ranked(files: DataFrame, query: str, candidates: int = 50, limit: int = 20) -> DataFrame:
-    """The flagship: text and path candidates, fused, with importance by path, blended."""
-    live = files.where(~F.col("is_deleted"))
-    by_text = ranked(top(bm25(live, query, "text", "doc_id").withColumn("score", F.round("score", 6)), candidates, F.desc("score"), "doc_id"), "rank", F.desc("score"), "doc_id")
-    by_size = ranked(top(live.where(C.contains_ci(F.col("text"), query_terms(query)[0])).select("doc_id", "size_bytes"), candidates, F.desc("size_bytes"), "doc_id"), "rank", F.desc("size_bytes"), "doc_id")
-    fused = fuse_rrf([by_text, by_size], "doc_id")
-    items = fused.join(live.select("doc_id", "repo_root", "relative_path"), "doc_id").withColumns({"importance": C.path_score(F.col("relative_path"), query), "vector": F.lit(0.0), "hierarchy": F.lit(0.0)})
-    items = ranked(items.withColumn("rrf", F.round("rrf", 9)), "prior_rank", F.desc("rrf"), "doc_id")
-    return blend(items, limit).select("doc_id", "repo_root", "relative_path", F.round("rrf", 6).alias("rrf"), F.round("final", 6).alias("final"))
+def importance(symbols: DataFrame, calls_in: DataFrame) -> DataFrame:
+    """symbols with importance: the score of the kind and 24 a calling file. calls_in: to_symbol, fan_in."""
+    t = symbols.join(calls_in.select(F.col("to_symbol").alias("symbol_key"), "fan_in"), "symbol_key", "left")
+    return t.withColumn("importance", C.kind_score(F.col("kind")) + 24 * F.coalesce("fan_in", F.lit(0)))
+
+
+def log_norm(column: str):
+    """Signed logarithm, at most 5: one extreme value cannot drown the rest."""
+    return F.least(F.lit(5.0), F.log1p(F.abs(column)) * F.signum(column))
+
+
+def with_vectors(items: DataFrame, query: str, window: int = 20) -> DataFrame:
+    """items (label, prior_rank) with vector: of the first `window` the cosine of hashed words with the query's, which must
+    have two terms at least; 0 for others. The order stays."""
+    if len(query_terms(query)) < 2:
+        return items.withColumn("vector", F.lit(0.0))
+    near = F.coalesce(C.cosine(L.embed(F.col("label")), L.embed(F.lit(query))), F.lit(0.0))
+    return items.withColumn("vector", F.when(F.col("prior_rank") <= window, F.round(near, 6)).otherwise(0.0))
+
+
+def search_ranked(index: Index, files: DataFrame, symbols: DataFrame, edges: DataFrame, query: str, candidates: int = 50, limit: int = 20) -> DataFrame:
+    """The flagship: files by BM25 over text and path, and symbols whose name holds a term, most called first, fused by
+    rank; importance of kind and callers, or of the path; hierarchy of symbols; vectors of the first items; blended."""
+    files = files.select(F.col("doc_id").cast("string").alias("id"), "repo_root", "relative_path", "is_deleted")
+    scored = bm25(index, query).select(F.col("key").cast("string").alias("id"), F.round("score", 6).alias("score"))
+    text = top(scored.join(files.where(~F.col("is_deleted")), "id"), candidates, F.desc("score"), "id")
+    text = ranked(text, "rank", F.desc("score"), "id").select("rank", F.concat(F.lit("file:"), "id").alias("item"), F.concat_ws("/", "repo_root", "relative_path").alias("label"), C.path_score(F.col("relative_path"), query).alias("base"), F.lit(0.0).alias("hierarchy"))
+    named = symbols.where(F.exists(F.array(*(F.lit(x) for x in query_terms(query)) or [F.lit("")]), lambda x: F.contains(F.lower("name"), x)))
+    found = top(importance(named, fan_in(edges.join(named.select(F.col("symbol_key").alias("to_symbol")), "to_symbol", "left_semi"))), candidates, F.desc("importance"), "symbol_key")
+    about = C.hierarchy_score(F.col("depth"), F.col("parent_key"), F.col("container_name"), query)
+    found = ranked(found, "rank", F.desc("importance"), "symbol_key").select("rank", F.concat(F.lit("symbol:"), "symbol_key").alias("item"), F.col("name").alias("label"), F.col("importance").alias("base"), about.alias("hierarchy"))
+    both = text.unionByName(found)
+    items = fuse_rrf([text, found], "item").withColumn("rrf", F.round("rrf", 9)).join(both.drop("rank"), "item").withColumn("importance", log_norm("base"))
+    items = with_vectors(ranked(items, "prior_rank", F.desc("rrf"), "item"), query)
+    return blend(items, limit).select("item", "label", F.round("rrf", 6).alias("rrf"), F.round("final", 6).alias("final"))

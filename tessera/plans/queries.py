@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from tessera.operators import lifecycle as L
 from tessera.operators import search as S
 from tessera.plans import layers, lifecycle  # noqa: F401 (register their queries)
 from tessera.plans.registry import ORACLES, QUERIES, query  # noqa: F401
+from tessera.sources.shared import shared_dir
 
 NOW = "timestamp_ntz '1996-06-30 00:00:00'"
 
@@ -263,14 +266,26 @@ def h09_containers(symbols):
     return I.containers(symbols)
 
 
-_BM25 = """WITH t AS (SELECT doc_id, len(w) AS len, len(list_filter(w, lambda x: x = 'and')) AS a, len(list_filter(w, lambda x: x = 'the')) AS b FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[0-9a-zA-Z_]+'), lambda x: lower(x)) AS w FROM files WHERE NOT is_deleted)),
-s AS (SELECT count(*) AS n, avg(len) AS mean, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM t),
-k AS (SELECT doc_id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / mean)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / mean)), 6) AS score FROM t, s WHERE a > 0 OR b > 0)"""
+_FIELD = """SELECT doc_id, {0} AS field, len(w) AS len, len(list_filter(w, lambda x: x = 'and')) AS a, len(list_filter(w, lambda x: x = 'the')) AS b FROM (SELECT doc_id, list_transform(regexp_extract_all({1}, '[0-9a-zA-Z_]+'), lambda x: lower(x)) AS w FROM files WHERE NOT is_deleted)"""
+_BM25 = f"""WITH t AS ({_FIELD.format(1, 'text')} UNION ALL {_FIELD.format(2, 'relative_path')}),
+s AS (SELECT field, count(*) AS n, avg(len) AS mean, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM t GROUP BY field),
+k AS (SELECT doc_id, round(sum(CASE WHEN a > 0 THEN ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / mean)) ELSE 0 END + CASE WHEN b > 0 THEN ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / mean)) ELSE 0 END), 6) AS score FROM t JOIN s USING (field) WHERE a > 0 OR b > 0 GROUP BY doc_id)"""
+
+_INDEXES: dict[tuple, S.Index] = {}
+
+
+def _index(files):
+    """The index of the live files, written once a session for the same files."""
+    spark, live = files.sparkSession, files.where("not is_deleted")
+    key = (spark.sparkContext.applicationId, live.semanticHash(), tuple(sorted(files.inputFiles())))
+    if key not in _INDEXES:
+        _INDEXES[key] = S.Index.write(live, "doc_id", ("text", "relative_path"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    return _INDEXES[key]
 
 
 @query(_BM25 + " SELECT doc_id, score FROM k ORDER BY score DESC, doc_id LIMIT 50", "files")
 def k01_bm25(files):
-    t = S.bm25(files.where("not is_deleted"), "the and", "text", "doc_id").withColumn("score", F.round("score", 6))
+    t = S.bm25(_index(files), "the and").select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
     return S.top(t, 50, F.desc("score"), "doc_id")
 
 
@@ -301,14 +316,25 @@ def k10_cosine(embeddings):
     return t.orderBy(F.desc("similarity"), "vec_id").limit(20)
 
 
-@query(_BM25 + f""", l AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT * FROM k ORDER BY score DESC, doc_id LIMIT 50)
-  UNION ALL SELECT doc_id, row_number() OVER (ORDER BY size_bytes DESC, doc_id) FROM (SELECT doc_id, size_bytes FROM files WHERE NOT is_deleted AND contains(lower(text), 'and') ORDER BY size_bytes DESC, doc_id LIMIT 50)),
-r AS (SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM l GROUP BY doc_id),
-i AS (SELECT f.doc_id, repo_root, relative_path, rrf, {_PATH} AS imp, row_number() OVER (ORDER BY rrf DESC, f.doc_id) AS p FROM r JOIN files f USING (doc_id)),
-b AS (SELECT *, round(0.55 * (CASE WHEN max(rrf) OVER () > min(rrf) OVER () THEN (rrf - min(rrf) OVER ()) / (max(rrf) OVER () - min(rrf) OVER ()) ELSE 0 END) + 0.30 * (CASE WHEN max(imp) OVER () > min(imp) OVER () THEN (imp - min(imp) OVER ()) / (max(imp) OVER () - min(imp) OVER ()) ELSE 0 END), 9) AS final FROM i)
-SELECT doc_id, repo_root, relative_path, round(rrf, 6) AS rrf, round(final, 6) AS final FROM b ORDER BY b.final DESC, p LIMIT 20""", "files")
-def search_ranked(files):
-    return S.search_ranked(files, "the and")
+_CELL = "('0x' || substr(sha256({0}), 1, 8))::BIGINT % 128"
+
+
+@query(_BM25 + f""", x AS (SELECT doc_id::VARCHAR AS id, k.score, repo_root, relative_path FROM k JOIN files f USING (doc_id)),
+tx AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS rank, 'file:' || id AS item, repo_root || '/' || relative_path AS label, {_PATH} AS base, 0.0::DOUBLE AS hierarchy FROM (SELECT * FROM x ORDER BY score DESC, id LIMIT 50)),
+fi AS (SELECT to_symbol, count(DISTINCT repo_root || '::' || coalesce(caller_relative_path, relative_path)) AS n FROM edges GROUP BY 1),
+im AS (SELECT s.*, (CASE kind WHEN 'class' THEN 600.0 WHEN 'function' THEN 500.0 WHEN 'interface' THEN 450.0 WHEN 'method' THEN 350.0 ELSE 0.0 END + 24 * coalesce(fi.n, 0))::DOUBLE AS base FROM symbols s LEFT JOIN fi ON fi.to_symbol = s.symbol_key WHERE contains(lower(name), 'widget') OR contains(lower(name), 'the') OR contains(lower(name), 'and')),
+sy AS (SELECT row_number() OVER (ORDER BY base DESC, symbol_key) AS rank, 'symbol:' || symbol_key AS item, name AS label, base, least(5.0, 1.0 / (1.0 + greatest(0, depth)) + CASE WHEN parent_key IS NOT NULL THEN 0.2 ELSE 0 END)::DOUBLE AS hierarchy FROM (SELECT * FROM im ORDER BY base DESC, symbol_key LIMIT 50)),
+i AS (SELECT *, round(1.0::DOUBLE / (60 + rank), 9) AS rrf, least(5.0, ln(1 + abs(base)) * sign(base))::DOUBLE AS imp FROM (SELECT * FROM tx UNION ALL SELECT * FROM sy)),
+r AS (SELECT *, row_number() OVER (ORDER BY rrf DESC, item) AS p FROM i),
+q AS (SELECT cell, count(*) AS n FROM (SELECT {_CELL.format('w')} AS cell FROM (SELECT unnest(['the', 'and', 'widget']) AS w)) GROUP BY 1),
+c AS (SELECT item, cell, count(*) AS n FROM (SELECT item, {_CELL.format('w')} AS cell FROM (SELECT item, unnest(regexp_extract_all(lower(label), '[a-zA-Z0-9_]+')) AS w FROM r WHERE p <= 20)) GROUP BY 1, 2),
+v AS (SELECT item, round(coalesce(sum(c.n * q.n), 0) / sqrt(sum(c.n * c.n)) / (SELECT sqrt(sum(n * n)) FROM q), 6) AS v FROM c LEFT JOIN q USING (cell) GROUP BY item),
+w AS (SELECT r.*, coalesce(v, 0)::DOUBLE AS vec FROM r LEFT JOIN v USING (item)),
+b AS (SELECT *, round(0.55 * (CASE WHEN max(rrf) OVER () > min(rrf) OVER () THEN (rrf - min(rrf) OVER ()) / (max(rrf) OVER () - min(rrf) OVER ()) ELSE 0 END) + 0.30 * (CASE WHEN max(imp) OVER () > min(imp) OVER () THEN (imp - min(imp) OVER ()) / (max(imp) OVER () - min(imp) OVER ()) ELSE 0 END)
+ + 0.15 * (CASE WHEN max(vec) OVER () > min(vec) OVER () THEN (vec - min(vec) OVER ()) / (max(vec) OVER () - min(vec) OVER ()) ELSE 0 END) + 0.15 * (CASE WHEN max(hierarchy) OVER () > min(hierarchy) OVER () THEN (hierarchy - min(hierarchy) OVER ()) / (max(hierarchy) OVER () - min(hierarchy) OVER ()) ELSE 0 END), 9) AS final FROM w)
+SELECT item, label, round(rrf, 6) AS rrf, round(final, 6) AS final FROM b ORDER BY b.final DESC, p LIMIT 20""", "files", "symbols", "edges")
+def search_ranked(files, symbols, edges):
+    return S.search_ranked(_index(files), files, symbols, edges, "the and widget")
 
 
 @query("SELECT event_id, user_id, event_type FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM jobs) WHERE nx IS NULL OR epoch_us(nx) - epoch_us(ts) >= 3600 * 1000000::BIGINT", "jobs")
