@@ -97,13 +97,14 @@ def scan_versions(versions: DataFrame, ledger: str, text_col: str = "text", rule
     """
     spark = versions.sparkSession
     old = read_ledger(spark, ledger)
-    unseen = versions.select(blob_id(F.col(text_col)).alias("blob_id"), F.col(text_col).cast("string").alias("text"))
+    texts = versions.select(blob_id(F.col(text_col)).alias("blob_id"), F.col(text_col).cast("string").alias("text"))
     if old is not None:
-        unseen = unseen.join(old.where(F.col("rule_version") == rule_version).select("blob_id"), "blob_id", "left_anti")
+        # copies are combined before the shuffle; distinct blobs meet the ledger where the shuffle has put them
+        texts = texts.groupBy("blob_id").agg(F.first("text").alias("text")).join(old.where(F.col("rule_version") == rule_version).select("blob_id"), "blob_id", "left_anti")
     # most blobs hold nothing; their text goes no further than this filter
     possible = F.regexp_like(F.coalesce("text", F.lit("")), F.lit("|".join(f"(?:{r.pattern})" for r in rules)))
-    unseen = unseen.select("blob_id", F.when(possible, F.col("text")).alias("text"))
-    fresh = unseen.groupBy("blob_id").agg(F.first("text").alias("text"))
+    unseen = texts.select("blob_id", F.when(possible, F.col("text")).alias("text"))
+    fresh = unseen.groupBy("blob_id").agg(F.first("text").alias("text")) if old is None else unseen
     scan_blobs(fresh, rules).withColumn("rule_version", F.lit(rule_version)).write.mode("append").parquet(ledger)
     now = spark.read.parquet(ledger).where(F.col("rule_version") == rule_version).select("blob_id", "spans")
     return now if old is None else now.dropDuplicates(["blob_id"])
