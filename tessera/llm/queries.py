@@ -18,9 +18,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two deliveries to one ledger: first the versions that carry labels, then all; the second scans only unseen blobs."""
+    """Two deliveries to one ledger: first one language, then all documents; the second scans only unseen blobs."""
     docs, ledger = _table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
-    secrets.scan_versions(docs.join(_table(spark, sf_dir, "labels"), "doc_id", "left_semi"), ledger)
+    secrets.scan_versions(docs.where("lang = 'en'"), ledger)
     found = secrets.secret_scan(docs, ledger)
     n = len(secrets.BASE_RULES)
     count = lambda i: F.size(F.filter("spans", lambda x: x["rule"] == i)).cast("bigint")
@@ -59,8 +59,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     counters = {"words-1": token_counts.word_counter, "byte_bpe_multi_50k": token_counts.rank_counter(*bpe.default_vocabulary())}
     totals.commit("documents", docs, counters)
-    # the labelled documents are delivered again: their counts are taken out and put in once more, the totals stay
-    totals.commit("revision", docs.join(_table(spark, sf_dir, "labels"), "doc_id", "left_semi"), counters)
+    # one language is delivered again: its counts are taken out and put in once more, the totals stay
+    totals.commit("revision", docs.where("lang = 'en'"), counters)
     return totals.totals()
 
 
