@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import contextlib
 import ctypes
+import functools
 import gc
 import hashlib
 import re
@@ -30,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that are cut into pieces at once; bytes of words that contract, tokens that are decoded in one query.
-CHUNK_CHARS, CONTRACT_BYTES, DECODE_TOKENS = 4_000_000, 1 << 19, 500_000
+CHUNK_CHARS, CONTRACT_BYTES, DECODE_TOKENS = 2_000_000, 1 << 19, 250_000
 #: Memory of a task's DuckDB; a Python worker forgets its words beyond this many; bytes of a word that is cut first.
-MEMORY, CACHE_WORDS, LONG_WORD = "256MB", 1_000_000, 64
+MEMORY, CACHE_WORDS, LONG_WORD = "256MB", 250_000, 64
 
 #: A Python worker that has had no task for so many seconds gives its codec's memory back, for the stages that follow.
 IDLE_SECONDS = 3
@@ -131,7 +132,6 @@ class Codec:
         import regex
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.begins = {t[:i] for t in ranks for i in range(1, len(t) + 1)}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         self.db.register("given", pa.table({"l": merges[:, 0], "r": merges[:, 1], "m": merges[:, 2].astype(np.int64)}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
@@ -144,6 +144,11 @@ class Codec:
         #: Ids of pieces that are no token.
         self.known: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def begins(self) -> set[bytes]:
+        """Every prefix of a token; only long words ask for it."""
+        return {t[:i] for t in self.ranks for i in range(1, len(t) + 1)}
+
     def contract(self, words: list[bytes]) -> dict[bytes, bytes]:
         """The ids of words of at most LONG_WORD bytes, some at a time."""
         out, at, size = {}, 0, 0
