@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, html_extraction, licenses, mixing, quality_classifier, quality_rules, secrets, token_counts
+from tessera.llm import bpe, decontamination, html_extraction, licenses, mixing, quality_classifier, quality_rules, secrets, token_counts
 from tessera.llm.embedding_dedup import embedding_dedup
 from tessera.llm.ngram_jaccard import ngram_jaccard
 from tessera.sources.shared import shared_dir
@@ -83,7 +83,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
-_OPERATORS = (op1_secret_scan, op2_license_scan, op3_bpe, op4_embedding_dedup, op5_ngram_jaccard, op6_token_counts, op7_quality_classifier, op8_quality_rules, op9_mix_sources, op10_html_extraction)
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), phrase=10, slop=5)
+    size = lambda c: F.size(c).cast("bigint")
+    return found.select("doc_id", "n_words", "n_hit", size("items").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), size("near").alias("n_near"))
+
+
+_OPERATORS = (op1_secret_scan, op2_license_scan, op3_bpe, op4_embedding_dedup, op5_ngram_jaccard, op6_token_counts, op7_quality_classifier, op8_quality_rules, op9_mix_sources, op10_html_extraction,
+              op12_decontamination)
 QUERIES = {f.__name__: f for f in _OPERATORS}
 
 # Components are found by propagating the smallest id along links, one row a (document, smallest seen so far).
@@ -117,6 +124,26 @@ FROM b
 """
 
 
+# Every window of every document is compared, without an index; near: runs of 15 words from any of a cut's words on, in documents that hold all of them.
+_OP12 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT item, i, least(10, len(w)) AS n, w[i:i + 9] AS g, (i - 1) % 10 = 0 OR i = greatest(len(w) - 9, 1) AS cut FROM (SELECT *, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
+q AS (SELECT DISTINCT item, n, array_to_string(g, ' ') AS g FROM i),
+s AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM q))),
+h AS (SELECT doc_id, item, i, n FROM s JOIN q USING (n, g)),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS hit FROM (SELECT doc_id, i, unnest(range(0, n)) AS k FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM h GROUP BY doc_id),
+k AS (SELECT *, row_number() OVER () AS k FROM (SELECT DISTINCT item, list_distinct(g) AS words FROM i WHERE cut)),
+p AS (SELECT doc_id, k, n, word, i FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d) JOIN (SELECT k, len(words) AS n, unnest(words) AS word FROM k) USING (word)),
+f AS (SELECT doc_id, k FROM p GROUP BY doc_id, k, n HAVING count(DISTINCT word) = n),
+o AS MATERIALIZED (SELECT p.* FROM p JOIN f USING (doc_id, k)),
+y AS (SELECT DISTINCT doc_id, k FROM (SELECT x.doc_id, x.k FROM o x JOIN o y ON x.doc_id = y.doc_id AND x.k = y.k AND y.i BETWEEN x.i AND x.i + 14 GROUP BY x.doc_id, x.k, x.i, x.n HAVING count(DISTINCT y.word) = x.n)),
+m AS (SELECT doc_id, count(DISTINCT item) AS near FROM y JOIN k USING (k) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(hit, 0) AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(hit, 0) > 0 AS contaminated, coalesce(near, 0) AS n_near
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
 
 def _op1() -> str:
     """Positions as in the operator: lengths between matches and of matches, summed."""
@@ -155,4 +182,4 @@ FROM w LEFT JOIN f USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
 
-ORACLES: dict[str, str] = {"op1_secret_scan": _op1(), "op2_license_scan": _op2(), "op5_ngram_jaccard": _OP5, "op8_quality_rules": _OP8}
+ORACLES: dict[str, str] = {"op1_secret_scan": _op1(), "op2_license_scan": _op2(), "op5_ngram_jaccard": _OP5, "op8_quality_rules": _OP8, "op12_decontamination": _OP12}

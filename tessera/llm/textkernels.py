@@ -36,6 +36,9 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _BYTE_LOWER = _BYTE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SOLID = ~_SPACE
+#: Bytes of words of letters and digits: ``[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+``.
+ALPHANUMERIC = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -64,13 +67,32 @@ def chunks(texts: pa.Array):
         at = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, byte length) of every word of a chunk, in text order."""
+def pieces(texts: pa.Array, solid: np.ndarray = _SOLID):
+    """As chunks, but with a row's number for every run: (bytes, offsets from 0, rows); a text longer than CHUNK_BYTES is
+    cut at bytes that stand outside words, so that memory does not grow with it."""
+    for at, data, offsets in chunks(texts):
+        if len(data) <= 2 * CHUNK_BYTES:
+            yield data, offsets, np.arange(at, at + len(offsets) - 1)
+            continue
+        start = 0
+        while start < len(data):
+            end = min(start + CHUNK_BYTES, len(data))
+            while end < len(data):
+                outside = np.flatnonzero(~solid[data[end : end + CHUNK_BYTES]])
+                end = min(end + (int(outside[0]) if len(outside) else CHUNK_BYTES), len(data))
+                if len(outside):
+                    break
+            yield data[start:end], np.array([0, end - start]), np.array([at])
+            start = end
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, solid: np.ndarray = _SOLID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, byte length) of every word of a chunk, in text order; solid tells the bytes of words."""
     n = len(data)
     if not n:
         empty = np.zeros(0, np.int64)
         return empty.astype(np.uint64), empty, empty
-    solid = ~_SPACE[data]
+    solid = solid[data]
     opens = solid.copy()
     opens[1:] &= ~solid[:-1]
     first = offsets[:-1][(offsets[:-1] < n) & (np.diff(offsets) > 0)]
