@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontamination, html_extraction, licenses, mixing, quality_classifier, quality_rules, secrets, token_counts
 from tessera.llm.embedding_dedup import embedding_dedup
+from tessera.llm.hard_negatives import hard_negatives
 from tessera.llm.ngram_jaccard import ngram_jaccard
 from tessera.sources.shared import shared_dir
 
@@ -83,6 +84,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end").alias("label"), "embedding")
+    return hard_negatives(rows, anchors=F.col("vec_id") % 50 == 0, positives=5, negatives=3, low_pct=50, high_pct=95, scale=256.0)
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), phrase=10, slop=5)
     size = lambda c: F.size(c).cast("bigint")
@@ -90,7 +96,7 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OPERATORS = (op1_secret_scan, op2_license_scan, op3_bpe, op4_embedding_dedup, op5_ngram_jaccard, op6_token_counts, op7_quality_classifier, op8_quality_rules, op9_mix_sources, op10_html_extraction,
-              op12_decontamination)
+              op11_hard_negatives, op12_decontamination)
 QUERIES = {f.__name__: f for f in _OPERATORS}
 
 # Components are found by propagating the smallest id along links, one row a (document, smallest seen so far).
@@ -124,6 +130,15 @@ FROM b
 """
 
 
+_OP11 = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS s FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (SELECT p.a, p.b AS pos, p.s AS ps, s.b AS neg, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS r FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s)
+SELECT a AS anchor_id, pos AS positive_id, r::INTEGER AS rank, neg AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 3
+"""
+
 # Every window of every document is compared, without an index; near: runs of 15 words from any of a cut's words on, in documents that hold all of them.
 _OP12 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -182,4 +197,4 @@ FROM w LEFT JOIN f USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
 
-ORACLES: dict[str, str] = {"op1_secret_scan": _op1(), "op2_license_scan": _op2(), "op5_ngram_jaccard": _OP5, "op8_quality_rules": _OP8, "op12_decontamination": _OP12}
+ORACLES: dict[str, str] = {"op1_secret_scan": _op1(), "op2_license_scan": _op2(), "op5_ngram_jaccard": _OP5, "op8_quality_rules": _OP8, "op11_hard_negatives": _OP11, "op12_decontamination": _OP12}
