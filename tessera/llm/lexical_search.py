@@ -231,13 +231,13 @@ class ImpactIndex:
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, np.ndarray]]]:
     """Items and their distinct terms, in blocks, by the driver; an item is never cut."""
     named = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text"))
-    found = materialize(named.mapInArrow(_item_terms, "item string, term bigint").distinct().orderBy("item"), "items")
+    found = materialize(named.mapInArrow(_item_terms, "item string, term bigint").distinct(), "items")
     block, name, own = [], None, []
     for item, term in found.orderBy("item").toLocalIterator():
         if item != name:
             if own:
                 block.append((name, np.array(own, np.int64).view(np.uint64)))
-            if sum(len(t) for _, t in block[-1:]) and sum(len(t) for _, t in block) >= BLOCK_TERMS:
+            if sum(len(t) for _, t in block) >= BLOCK_TERMS:
                 yield block
                 block = []
             name, own = item, []

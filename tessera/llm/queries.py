@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, decontamination, html_extraction, licenses, mixing, quality_classifier, quality_rules, secrets, token_counts
 from tessera.llm.embedding_dedup import embedding_dedup
 from tessera.llm.hard_negatives import hard_negatives
+from tessera.llm.lexical_search import ranked_search
 from tessera.llm.ngram_jaccard import ngram_jaccard
 from tessera.sources.shared import shared_dir
 
@@ -95,8 +96,12 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", size("items").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), size("near").alias("n_near"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 _OPERATORS = (op1_secret_scan, op2_license_scan, op3_bpe, op4_embedding_dedup, op5_ngram_jaccard, op6_token_counts, op7_quality_classifier, op8_quality_rules, op9_mix_sources, op10_html_extraction,
-              op11_hard_negatives, op12_decontamination)
+              op11_hard_negatives, op12_decontamination, op13_lexical_search)
 QUERIES = {f.__name__: f for f in _OPERATORS}
 
 # Components are found by propagating the smallest id along links, one row a (document, smallest seen so far).
@@ -159,6 +164,16 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(hit, 0) AS n_hit, coalesce(
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
+_OP13 = r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+p AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY ALL), d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+c AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS l FROM d), m AS (SELECT doc_id, 50 + (50 * n * nd) // l AS m FROM d, c),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+f AS (SELECT t, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY t, nd),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN p USING (t) JOIN f USING (t) JOIN m USING (doc_id) GROUP BY ALL HAVING score > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s QUALIFY rank <= 50
+"""
+
 
 def _op1() -> str:
     """Positions as in the operator: lengths between matches and of matches, summed."""
@@ -197,4 +212,4 @@ FROM w LEFT JOIN f USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
 
-ORACLES: dict[str, str] = {"op1_secret_scan": _op1(), "op2_license_scan": _op2(), "op5_ngram_jaccard": _OP5, "op8_quality_rules": _OP8, "op11_hard_negatives": _OP11, "op12_decontamination": _OP12}
+ORACLES: dict[str, str] = {"op1_secret_scan": _op1(), "op2_license_scan": _op2(), "op5_ngram_jaccard": _OP5, "op8_quality_rules": _OP8, "op11_hard_negatives": _OP11, "op12_decontamination": _OP12, "op13_lexical_search": _OP13}
