@@ -23,11 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Bytes of a batch that is sent to Python: rows of long texts or lists would otherwise fill a worker by the ten thousand.
+BATCH_BYTES = "4m"
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes a table to the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark, limit = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(limit)
+    spark.conf.set(limit, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(limit, before)
     _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
