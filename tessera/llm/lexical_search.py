@@ -24,7 +24,7 @@ from tessera.llm.decontamination import word_hashes
 from tessera.sources.shared import discard, materialize
 
 #: Postings and documents of a shard, about: one document at least.
-SHARD_POSTINGS, SHARD_DOCS = 1 << 20, 1 << 15
+SHARD_POSTINGS, SHARD_DOCS = 1 << 19, 1 << 15
 #: Terms of items that are searched at once: the bound of what is broadcast; an item alone can be larger.
 BLOCK_TERMS = 1 << 17
 #: Entries of each list that the first round reads; every further one reads twice as many.
