@@ -195,10 +195,9 @@ class Windows:
             cuts.append((np.arange(len(found)) % phrase == 0) | (np.arange(len(found)) == len(found) - 1))
         rows, owners, cuts = np.concatenate(rows), np.concatenate(owners), np.concatenate(cuts)
         self.words, place = np.unique(rows, axis=0, return_inverse=True)
-        pairs = np.unique(np.stack([place.ravel(), owners], 1), axis=0)
-        self.items, self.item_ends = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.words)), "right")
-        self.cut = np.zeros(len(self.words), bool)
-        self.cut[place.ravel()[cuts]] = True
+        self.items, self.item_ends = self._owners(place.ravel(), owners)
+        self.cut_items, self.cut_ends = self._owners(place.ravel()[cuts], owners[cuts])
+        self.cut = np.diff(self.cut_ends, prepend=0) > 0
         self.lengths = (self.words >= 0).sum(1)
         self.order = None
 
@@ -209,12 +208,15 @@ class Windows:
         self.sought = (n > 0).all(1)
         return self
 
-    def items_of(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place among the windows given, item) of each."""
-        ends = self.item_ends[windows]
-        n = ends - np.where(windows > 0, self.item_ends[windows - 1], 0)
-        at = np.repeat(np.arange(len(windows)), n)
-        return at, self.items[np.arange(n.sum()) - np.repeat(np.cumsum(n) - ends, n)]
+    def _owners(self, windows: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pairs = np.unique(np.stack([windows, items], 1), axis=0)
+        return pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.words)), "right")
+
+    def items_of(self, windows: np.ndarray, cuts: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the windows given, item) of each item that has the window, or has it as a cut."""
+        items, ends = (self.cut_items, self.cut_ends) if cuts else (self.items, self.item_ends)
+        n, ends = np.diff(ends, prepend=0)[windows], ends[windows]
+        return np.repeat(np.arange(len(windows)), n), items[np.arange(n.sum()) - np.repeat(np.cumsum(n) - ends, n)]
 
 
 def _matches(one: dict, plan: Windows) -> list[tuple]:
@@ -252,8 +254,8 @@ def _matches(one: dict, plan: Windows) -> list[tuple]:
         return []
     bases = np.array(one["bases"], np.int64)
     cover = np.cumsum(np.bincount(start, minlength=2 * SEGMENT) - np.bincount(start + plan.lengths[w], minlength=2 * SEGMENT)) > 0
-    pairs = lambda ws, where: np.unique(np.stack([(np.searchsorted(bases, where, "right") - 1)[(x := plan.items_of(ws))[0]], x[1]], 1), axis=0)
-    hit, near, out = pairs(w, start), pairs(near_w, near_at), []
+    pairs = lambda ws, where, cuts: np.unique(np.stack([(np.searchsorted(bases, where, "right") - 1)[(x := plan.items_of(ws, cuts))[0]], x[1]], 1), axis=0)
+    hit, near, out = pairs(w, start, False), pairs(near_w, near_at, True), []
     for s in np.union1d(hit[:, 0], near[:, 0]).tolist():
         base, first, a, b = (one[x][s] for x in ("bases", "firsts", "a", "b"))
         own = np.zeros(b - a + 2, np.int8)
@@ -295,7 +297,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, phrase: int) -> Iterat
                     continue
                 whole = np.concatenate(held)
                 ends = [*range(SEGMENT, len(whole), SEGMENT), len(whole)] if len(whole) > carried else []
-                for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                for a, b in zip([0, *ends][:-1], ends, strict=True):
                     yield pa.RecordBatch.from_arrays([pa.array([batch.column("item")[r].as_py()], pa.string()), pa.array([whole[max(a - phrase + 1, 0) : b].tobytes()])], ["item", "words"])
                 held = [] if ended else [whole[max(len(whole) - phrase + 1, 0) :]]
                 carried = sum(map(len, held))
