@@ -11,7 +11,7 @@ LANGUAGES = {".py": "python", ".java": "java", ".md": "markdown", ".js": "javasc
 KIND_SCORES = {"class": 600.0, "5": 600.0, "function": 500.0, "12": 500.0, "interface": 450.0, "11": 450.0, "method": 350.0, "6": 350.0}
 
 
-def _lookup(values: dict, key: Column, other) -> Column:
+def lookup(values: dict, key: Column, other) -> Column:
     table = F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
     return F.coalesce(F.try_element_at(table, key), F.lit(other))
 
@@ -21,7 +21,7 @@ def extension(path: Column) -> Column:
 
 
 def language_of(path: Column) -> Column:
-    return _lookup(LANGUAGES, extension(path), "unknown")
+    return lookup(LANGUAGES, extension(path), "unknown")
 
 
 def is_test_path(path: Column) -> Column:
@@ -44,7 +44,7 @@ def hash_fraction(*parts: Column) -> Column:
 
 
 def kind_score(kind: Column) -> Column:
-    return _lookup(KIND_SCORES, F.lower(kind), 0.0)
+    return lookup(KIND_SCORES, F.lower(kind), 0.0)
 
 
 def path_score(path: Column, query: str) -> Column:

@@ -30,8 +30,23 @@ QUEUE = """select o_orderkey as job_id, concat('/ws/c', cast(o_custkey % 20 as {
 JOBS = "select event_id, user_id, ts, event_type, case when event_type = 'error' then 'DEAD' else 'DONE' end as status, value as latency_ms from events"
 SYMBOLS = """select concat('sym_', cast(p_partkey as {string})) as symbol_key, p_name as name, case p_partkey % 5 when 0 then 'class' when 1 then 'function' when 2 then 'interface' when 3 then 'method' else 'field' end as kind,
   p_size % 4 as depth, p_brand as container_name, case when p_partkey >= 10 then concat('sym_', cast(floor(p_partkey / 10) as {whole})) end as parent_key, p_partkey as line, concat('m', cast(p_partkey % 7 + 1 as {string}), '.py') as relative_path from part"""
-VIEWS = {"files": FILES, "edges": EDGES, "queue": QUEUE, "jobs": JOBS, "symbols": SYMBOLS, "l4": L4, "l5": L5, "ready": READY, "calls": CALLS}
-_TABLES = {"files": "documents", "edges": "lineitem", "queue": "orders", "jobs": "events", "symbols": "part"} | dict.fromkeys(("l4", "l5", "ready", "calls"), "documents")
+#: Source files of four languages, one a part.
+SOURCES = """select concat('/ws/r', cast(p_partkey % 5 as {string})) as repo_root, p_partkey,
+  concat('src/m', cast(p_partkey % 7 as {string}), '/f', cast(p_partkey as {string}), case p_partkey % 4 when 0 then '.py' when 1 then '.java' when 2 then '.ts' else '.scala' end) as relative_path,
+  case p_partkey % 4 when 0 then 'python' when 1 then 'java' when 2 then 'typescript' else 'scala' end as lang,
+  replace(replace(replace(case p_partkey % 4
+    when 0 then concat('import os||class Part', cast(p_partkey as {string}), '(Base):|', repeat('    def area(self):|        return size(1)||', cast(p_size % 3 + 1 as int)), 'def build_', cast(p_partkey % 10 as {string}), '(x):|    pass|')
+    when 1 then concat('package p;||public class Part', cast(p_partkey as {string}), ' ~|', repeat('  public static int total(int x) ~|    return sum(x);|  ^|', cast(p_size % 3 + 1 as int)), '|  new Thing(1);|  List<String> names(int a) ~^|  void größe() ~^|^|')
+    when 2 then concat('export class Part', cast(p_partkey as {string}), ' ~^|', repeat('export async function load(a) ~|^|', cast(p_size % 3 as int)), '|function tail(a) ~^|')
+    else concat('package a.b|final case class Part', cast(p_partkey as {string}), '(x: Int)|', repeat('  def get(i: Int) = i|  lazy val v = 1|', cast(p_size % 3 as int)), 'object Main|') end, '|', chr(10)), '~', chr(123)), '^', chr(125)) as text from part"""
+#: What another analyser knows of those files: shifted lines, other spellings and kinds, and symbols that the outline lacks.
+KNOWN = f"""select relative_path, lang, name, kind, line, line + p_partkey % 3 as end_line from (
+  select *, concat('Part', cast(p_partkey as {{string}}), case when p_partkey % 4 = 1 then '<T>' else '' end) as name, '5' as kind, p_partkey % 6 + 1 as line from ({SOURCES})
+  union all select *, case p_partkey % 4 when 0 then 'area' when 1 then 'total(int x)' when 2 then 'load' else 'get' end as name, case p_partkey % 4 when 0 then '6' when 2 then '12' else 'method' end as kind, p_partkey % 11 + 2 as line from ({SOURCES})
+  union all select *, case p_partkey % 4 when 1 then 'new Thing' when 3 then 'v' else 'extra' end as name, case p_partkey % 4 when 1 then '9' when 3 then 'variable' else '13' end as kind, 4 as line from ({SOURCES})
+  union all select *, case p_partkey % 8 when 1 then 'Outer$In' when 5 then 'PartBuilder' else 'Main' end as name, '5' as kind, 9 as line from ({SOURCES})) as known"""
+VIEWS = {"sources": SOURCES, "known": KNOWN, "files": FILES, "edges": EDGES, "queue": QUEUE, "jobs": JOBS, "symbols": SYMBOLS, "l4": L4, "l5": L5, "ready": READY, "calls": CALLS}
+_TABLES = {"sources": "part", "known": "part", "files": "documents", "edges": "lineitem", "queue": "orders", "jobs": "events", "symbols": "part"} | dict.fromkeys(("l4", "l5", "ready", "calls"), "documents")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
