@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import index as I
 from tessera.operators import outline as O
+from tessera.operators import python_code as P
 from tessera.plans.registry import query
 
 # Line by line, in place of offsets: a match begins after the last line that is not empty.
@@ -53,3 +55,39 @@ def e07_buckets_and_names(known):
 def e09_missing_patterns(known):
     bucket = O.kind_bucket(F.col("lang"), F.col("kind"))
     return known.groupBy("lang", O.missing_pattern(F.col("lang"), F.col("kind"), bucket, F.col("name")).alias("pattern")).agg(F.count("*").alias("n"))
+
+
+# --- Python sources: the edges that each kind of file was made to hold
+
+
+_PY = "SELECT repo_root, relative_path, {0} AS from_symbol, {1} AS to_symbol, {2}::INTEGER AS line, '{3}' AS evidence, {4}::DOUBLE AS confidence, CASE WHEN starts_with(relative_path, 'tests/') THEN 'tests' ELSE 'production' END AS scope FROM pyfiles WHERE p_partkey % 6 = {5}"
+_EDGES = " UNION ALL ".join(_PY.format(*x) for x in (
+    ("'router.get'", "'read_' || g", 4, "python_route_decorator", 0.8, 0), ("'app.post'", "'write'", 10, "python_route_decorator", 0.8, 0),
+    ("'build'", "'show'", 4, "python_route_registration", 0.9, 1), ("'build'", "'home'", 5, "python_route_registration", 0.9, 1),
+    ("'Service' || g || '.run'", "'Tool.call'", 8, "python_mcp_dispatch", 0.85, 2), ("'Service' || g || '.run'", "'Repo.find'", 9, "python_bound_attribute_call", 0.9, 2),
+    ("'Service' || g || '.run'", "'Tool.call'", 11, "python_registry_dispatch", 0.8, 2), ("'Service' || g || '.run'", "'plain'", 12, "python_registry_dispatch", 0.8, 2)))
+
+
+@query(_EDGES, "pyfiles")
+def e11_call_edges(pyfiles):
+    return P.call_edges(P.facts(pyfiles))
+
+
+@query(_PY.format("'build'", "'read_' || g", 3, "python_include_router", 0.75, 1) + " AND NOT starts_with(relative_path, 'tests/') AND EXISTS (SELECT 1 FROM part x WHERE x.p_partkey = pyfiles.p_partkey - 1)", "pyfiles")
+def e17_router_edges(pyfiles):
+    return P.router_edges(P.facts(pyfiles))
+
+
+_IMPLEMENTS = """SELECT repo_root, 'Store' || g AS protocol, relative_path, x.name, x.line::INTEGER AS line, x.end_line::INTEGER AS end_line, x.evidence, x.confidence::DOUBLE AS confidence
+FROM pyfiles, (VALUES ('Disk', 1, 2, 'python_protocol_base', 0.9), ('Mem', 3, 7, 'python_structural_protocol_match', 0.8)) x(name, line, end_line, evidence, confidence) WHERE p_partkey % 6 = 5 AND EXISTS (SELECT 1 FROM part y WHERE y.p_partkey = pyfiles.p_partkey - 1)"""
+
+
+@query(_IMPLEMENTS, "pyfiles")
+def e18_protocol_implementations(pyfiles):
+    return P.protocol_implementations(P.class_specs(pyfiles))
+
+
+@query(f"""SELECT repo_root, relative_path, name, line::BIGINT AS line, evidence, confidence FROM ({_IMPLEMENTS}) WHERE protocol = 'Store6' AND NOT EXISTS (SELECT 1 FROM symbols WHERE contains(lower(name), 'store6')) ORDER BY confidence DESC, relative_path, line LIMIT 20""", "pyfiles", "symbols")
+def h06_implementations(pyfiles, symbols):
+    named = I.symbol_search(symbols.where(F.contains(F.lower("name"), F.lit("store6"))), "", 20).withColumn("repo_root", F.lit("/ws"))
+    return P.implementations(named, P.protocol_implementations(P.class_specs(pyfiles)), "Store6", 20)

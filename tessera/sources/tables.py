@@ -45,8 +45,20 @@ KNOWN = f"""select relative_path, lang, name, kind, line, line + p_partkey % 3 a
   union all select *, case p_partkey % 4 when 0 then 'area' when 1 then 'total(int x)' when 2 then 'load' else 'get' end as name, case p_partkey % 4 when 0 then '6' when 2 then '12' else 'method' end as kind, p_partkey % 11 + 2 as line from ({SOURCES})
   union all select *, case p_partkey % 4 when 1 then 'new Thing' when 3 then 'v' else 'extra' end as name, case p_partkey % 4 when 1 then '9' when 3 then 'variable' else '13' end as kind, 4 as line from ({SOURCES})
   union all select *, case p_partkey % 8 when 1 then 'Outer$In' when 5 then 'PartBuilder' else 'Main' end as name, '5' as kind, 9 as line from ({SOURCES})) as known"""
-VIEWS = {"sources": SOURCES, "known": KNOWN, "files": FILES, "edges": EDGES, "queue": QUEUE, "jobs": JOBS, "symbols": SYMBOLS, "l4": L4, "l5": L5, "ready": READY, "calls": CALLS}
-_TABLES = {"sources": "part", "known": "part", "files": "documents", "edges": "lineitem", "queue": "orders", "jobs": "events", "symbols": "part"} | dict.fromkeys(("l4", "l5", "ready", "calls"), "documents")
+#: Python files, six of a group (numbered by its first part): routes, an application, a service, a broken file, protocols, classes.
+_G = "cast(p_partkey - p_partkey % 6 as {string})"
+PYFILES = f"""select concat('/ws/py', cast((p_partkey - p_partkey % 6) % 5 as {{string}})) as repo_root, p_partkey, {_G} as g,
+  concat(case p_partkey % 6 when 0 then 'api/r' when 1 then case when p_partkey % 4 = 1 then 'tests/app' else 'web/app' end when 2 then 'svc/s' when 3 then 'svc/b' when 4 then 'core/d' else 'core/i' end, {_G}, case when p_partkey % 6 = 4 then '/ports.py' else '.py' end) as relative_path,
+  replace(replace(replace(replace(replace(case p_partkey % 6
+    when 0 then 'from lib import APIRouter|router = APIRouter()|%router.get("/x")|def read_@():|    pass|%router.other|def skip():|    pass|%app.post|def write():|    pass|'
+    when 1 then 'from api.r@ import router as sub|def build(app):|    app.include_router(sub)|    app.add_api_route("/p", handlers.show)|    return [Route("/q", endpoint=home), Route("/z")]|'
+    when 2 then 'class Service@:|    def __init__(self, repo: db.Repo, n):|        self.repo = repo|        self.tool = tools.Tool()|        self.table = ~"a": self.tool.call, "b": plain^|    def run(self, x):|        tool = self.tool|        tool.call(1)|        self.repo.find(2)|        go = self.table["a"]|        go(3)|        return self.table["b"](x)|'
+    when 3 then 'def broken(:|'
+    when 4 then 'class Store@(Protocol):|    def load@(self, key):|        ...|    def save(self, key, *, force):|        ...|    def _hidden(self):|        ...|class Empty(Protocol):|    pass|'
+    else 'class Disk(ports.Store@):|    pass|class Mem:|    def load@(self, key):|        pass|    def save(self, key, *, force):|        pass|class Wrong:|    def load@(self, name):|        pass|    def save(self, key, *, force):|        pass|' end,
+  '|', chr(10)), '~', chr(123)), '^', chr(125)), '@', {_G}), '%', '@') as text from part"""
+VIEWS = {"pyfiles": PYFILES, "sources": SOURCES, "known": KNOWN, "files": FILES, "edges": EDGES, "queue": QUEUE, "jobs": JOBS, "symbols": SYMBOLS, "l4": L4, "l5": L5, "ready": READY, "calls": CALLS}
+_TABLES = {"pyfiles": "part", "sources": "part", "known": "part", "files": "documents", "edges": "lineitem", "queue": "orders", "jobs": "events", "symbols": "part"} | dict.fromkeys(("l4", "l5", "ready", "calls"), "documents")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
