@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import index as I
 from tessera.operators import outline as O
 from tessera.operators import python_code as P
+from tessera.operators import quality as Q
 from tessera.plans.registry import query
 
 # Line by line, in place of offsets: a match begins after the last line that is not empty.
@@ -91,3 +92,54 @@ def e18_protocol_implementations(pyfiles):
 def h06_implementations(pyfiles, symbols):
     named = I.symbol_search(symbols.where(F.contains(F.lower("name"), F.lit("store6"))), "", 20).withColumn("repo_root", F.lit("/ws"))
     return P.implementations(named, P.protocol_implementations(P.class_specs(pyfiles)), "Store6", 20)
+
+
+# --- found against known symbols
+
+# A file knows each name once here, so the first found symbol that may take it does; gaps by language and bucket as they stand in the operator.
+_MATCH = _LINES + f""", f AS (SELECT relative_path, lang, name, CASE WHEN lang = 'scala' AND kind = 'function' THEN 'method' ELSE kind END AS bucket, kind, line, line AS end_line FROM o JOIN (SELECT relative_path, lang FROM sources) USING (relative_path)),
+k AS (SELECT relative_path, lang, {_NAME} AS name, {_BUCKET} AS bucket, kind, line, end_line FROM known WHERE {_NAME} <> ''),
+p AS (SELECT f.relative_path, f.name, f.line, f.kind, f.bucket = k.bucket AS same, CASE WHEN f.line BETWEEN k.line AND k.end_line THEN 0 ELSE least(abs(f.line - k.line), abs(f.line - k.end_line)) END AS gap, k.lang, f.bucket FROM f JOIN k ON f.relative_path = k.relative_path AND f.name = k.name),
+c AS (SELECT *, CASE WHEN lang = 'java' AND bucket IN ('class', 'method') THEN 12 WHEN lang = 'python' AND bucket IN ('class', 'method', 'function') THEN 6 WHEN lang = 'scala' AND bucket IN ('module', 'class', 'method', 'field') THEN 8 ELSE 2 END AS most FROM p),
+b AS (SELECT relative_path, name, min((line, kind)) AS first, arg_min(same, (line, kind)) AS same, arg_min(gap, (line, kind)) AS gap, arg_min(most, (line, kind)) AS most FROM c WHERE gap <= 2 OR (same AND gap <= most) GROUP BY ALL),
+m AS (SELECT 'found' AS side, f.*, b.same, b.gap, b.most FROM f LEFT JOIN b ON f.relative_path = b.relative_path AND f.name = b.name AND f.line = b.first[1] AND f.kind = b.first[2]
+  UNION ALL SELECT 'known', k.*, b.same, b.gap, b.most FROM k LEFT JOIN b ON k.relative_path = b.relative_path AND k.name = b.name)
+"""
+
+
+@query(_MATCH + "SELECT side, relative_path, name, bucket, line::INTEGER AS line, gap IS NOT NULL AS matched, coalesce(same, false) AS same_kind, gap::INTEGER AS gap FROM m", "sources", "known")
+def j13_tolerance_match(sources, known):
+    return _matches(sources, known).select("side", "relative_path", "name", "bucket", "line", "matched", "same_kind", "gap")
+
+
+def _matches(sources, known):
+    found = O.outline(sources, ["relative_path", "lang"])
+    return Q.tolerance_match(Q.normalised(found, ["relative_path"]), Q.normalised(known, ["relative_path"]), ["relative_path"])
+
+
+_QUALITY = _MATCH + """, y AS (SELECT *, side = 'known' AND gap IS NULL AND lang = 'java' AND regexp_matches(name, '^[A-Za-z_]\\w*Builder(Impl)?$') AS made,
+  CASE WHEN lang = 'java' AND kind = '9' THEN 'missing_constructor' WHEN lang = 'java' AND bucket = 'class' AND contains(name, '$') THEN 'missing_nested_type' WHEN lang = 'scala' AND bucket = 'class' THEN 'missing_type' ELSE 'missing_' || bucket END AS pattern FROM m),
+q AS (SELECT relative_path, lang, count(*) FILTER (side = 'found') AS found, count(*) FILTER (side = 'known') AS al, count(*) FILTER (side = 'known' AND NOT made) AS known, count(*) FILTER (side = 'found' AND gap IS NOT NULL) AS matched,
+  count(*) FILTER (side = 'found' AND same) AS kinds, count(*) FILTER (side = 'found' AND gap <= 2) AS places, count(*) FILTER (side = 'found' AND gap <= most) AS loose FROM y GROUP BY ALL),
+r AS (SELECT *, CASE WHEN known = 0 THEN 1 ELSE matched / known END AS recall, CASE WHEN found = 0 THEN 1 ELSE matched / found END AS precision, CASE WHEN matched = 0 THEN 1 ELSE kinds / matched END AS kind_rate, CASE WHEN matched = 0 THEN 1 ELSE places / matched END AS place_rate,
+  CASE WHEN matched = 0 THEN 1 ELSE loose / matched END AS loose_rate,
+  list_filter([CASE WHEN known > found THEN 'ast_missing_symbols' END, CASE WHEN found > al THEN 'ast_extra_symbols' END, CASE WHEN matched > 0 AND kinds < matched THEN 'kind_mismatch_present' END, CASE WHEN matched > 0 AND places < matched THEN 'position_mismatch_present' END, CASE WHEN known > 0 AND matched = 0 THEN 'no_proxy_matches' END], lambda x: x IS NOT NULL) AS flags FROM q)
+"""
+
+
+@query(_QUALITY + """SELECT relative_path, lang, found, known, matched, round(recall, 6)::DOUBLE AS recall, round(precision, 6)::DOUBLE AS precision, round(kind_rate, 6)::DOUBLE AS kind_rate, round(place_rate, 6)::DOUBLE AS place_rate, round(loose_rate, 6)::DOUBLE AS loose_rate, array_to_string(flags, ',') AS flags FROM r""", "sources", "known")
+def g21_file_quality(sources, known):
+    t = Q.file_quality(_matches(sources, known), ["relative_path"])
+    return t.select("relative_path", "lang", "found", "known", "matched", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "kind_rate", "place_rate", "loose_rate")), F.array_join("flags", ",").alias("flags"))
+
+
+@query(_QUALITY + """, x AS (SELECT lang, pattern, count(*) AS n FROM y WHERE side = 'known' AND gap IS NULL AND NOT made GROUP BY lang, pattern QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, pattern) <= 10),
+z AS (SELECT lang, flag, count(*) AS n FROM (SELECT lang, unnest(flags) AS flag FROM r) GROUP BY ALL)
+SELECT r.lang, count(*) AS files, round(avg(round(recall, 9)), 6) AS recall, round(avg(round(precision, 9)), 6) AS precision, round(avg(round(kind_rate, 9)), 6) AS kind_rate, round(avg(round(place_rate, 9)), 6) AS place_rate, round(avg(round(loose_rate, 9)), 6) AS loose_rate,
+  coalesce((SELECT string_agg(flag || '=' || n, ',' ORDER BY flag) FROM z WHERE z.lang = r.lang), '') AS flags, coalesce((SELECT string_agg(pattern || '=' || n, ',' ORDER BY n DESC, pattern) FROM x WHERE x.lang = r.lang), '') AS top_missing FROM r GROUP BY r.lang""", "sources", "known")
+def g22_shadow_languages(sources, known):
+    """Two halves of the files are summed apart and added up."""
+    files = Q.file_quality(_matches(sources, known), ["relative_path"])
+    half = lambda n: Q.shadow_counts(files.where(F.pmod(F.xxhash64("relative_path"), F.lit(2)) == n))
+    t = Q.shadow_summary(Q.merge_shadow(half(0).unionByName(half(1))))
+    return t.withColumns({c: F.array_join(c, ",") for c in ("flags", "top_missing")})

@@ -77,7 +77,7 @@ def test_each_scanner_of_a_file():
     dispatch = "class D:\n def __init__(self):\n  self.a = x.Tool()\n  self.b = self.c = Two()\n  self.d = 1\n def run(self):\n  t = self.a\n  t.call()\n  t = self.d\n  t.call(self.a.call())\n  self.b.call()\n  other.call()\n"
     assert sorted(set(edges(dispatch))) == [("mcp_dispatch", "D.run", "Tool.call", 8), ("mcp_dispatch", "D.run", "Tool.call", 10)]
     table = "class R:\n def __init__(self, s: Store):\n  self.s = s\n  self.one = {'k': self.s.load}\n  self.t = {'a': self.s.save, 'b': mod.f, 'c': self.own, **more, 1: x}\n def go(self, key):\n  self.one[key]()\n  t = self.t\n  t['a'](1)\n  h = t['b']\n  h()\n  self.t['c']()\n  t[key]()\n  unknown()\n"
-    assert edges(table) == [("registry_dispatch", "R.go", "Store.load", 7), ("registry_dispatch", "R.go", "Store.save", 9), ("registry_dispatch", "R.go", "f", 11), ("registry_dispatch", "R.go", "self.own", 12)]
+    assert edges(table) == [("registry_dispatch", "R.go", "Store.load", 7), ("registry_dispatch", "R.go", "Store.save", 9), ("registry_dispatch", "R.go", "mod.f", 11), ("registry_dispatch", "R.go", "self.own", 12)]
 
 
 def test_bound_calls_and_edges_across_files(spark):
