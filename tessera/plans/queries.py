@@ -11,7 +11,7 @@ from tessera.functions import columns as C
 from tessera.operators import index as I
 from tessera.operators import lifecycle as L
 from tessera.operators import search as S
-from tessera.plans import layers, lifecycle, source_code  # noqa: F401 (register their queries)
+from tessera.plans import layers, lifecycle, maintenance, source_code  # noqa: F401 (register their queries)
 from tessera.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from tessera.sources.shared import shared_dir
 
