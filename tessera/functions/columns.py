@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: The language of a path's extension.
 LANGUAGES = {".py": "python", ".java": "java", ".md": "markdown", ".js": "javascript", ".ts": "typescript", ".go": "go", ".rs": "rust", ".kt": "kotlin", ".c": "c", ".cpp": "cpp"}
+#: Extensions of code, and of what only tools read.
+CODE_EXTENSIONS = (".py", ".pyi", ".ts", ".tsx", ".js", ".jsx", ".java", ".kt", ".kts", ".go", ".rs")
+NOISY_EXTENSIONS = (".lock", ".min.js")
 #: The score of a symbol's kind.
 KIND_SCORES = {"class": 600.0, "5": 600.0, "function": 500.0, "12": 500.0, "interface": 450.0, "11": 450.0, "method": 350.0, "6": 350.0}
 
@@ -54,8 +57,8 @@ def path_score(path: Column, query: str) -> Column:
     score = F.when(F.regexp_replace(name, r"\.[^.]*$", "") == query.lower(), 1.0).otherwise(0.0)
     score += F.when(F.arrays_overlap(parts, F.array(*map(F.lit, ("src", "app", "core")))), 0.6).otherwise(0.0)
     score -= F.when(F.arrays_overlap(parts, F.array(*map(F.lit, ("test", "tests", "build", "dist")))), 0.7).otherwise(0.0)
-    rest = F.when(F.regexp_like(name, F.lit(r"\.(py|js|ts|java|go|rs|kt|c|cpp)$")), 0.3).when(F.endswith(name, F.lit(".lock")), -1.0).otherwise(0.0)
-    return F.when(F.endswith(name, F.lit(".min.js")), score - 1.0).otherwise(score + rest)
+    ends = lambda some: F.exists(F.array(*map(F.lit, some)), lambda x: F.endswith(name, x))
+    return F.when(ends(NOISY_EXTENSIONS), score - 1.0).when(ends(CODE_EXTENSIONS), score + 0.3).otherwise(score)
 
 
 def hierarchy_score(depth: Column, parent: Column, container: Column, query: str) -> Column:
@@ -79,21 +82,36 @@ def regression_bps(baseline: Column, candidate: Column, lower_is_better: bool =
     return F.when(baseline > 0, F.bround(worse / baseline * 10000)).otherwise(0.0).cast("bigint")
 
 
-def dotted_tails(name: Column) -> Column:
-    """A qualified name (A::b.c or A#b) and the names that it ends in, longest first."""
-    parts = F.split(F.regexp_replace(name, "::|#", "."), r"\.")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
+def base_names(name: Column) -> Column:
+    """Under which names a qualified name may be called: as it is, behind its last ::, and behind its last dot."""
+    bare = F.trim(name)
+    behind = lambda mark: F.when(F.contains(bare, F.lit(mark)), F.substring_index(bare, mark, -1))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.array(bare, behind("::"), behind(".")))))
+
+
+def matches_target(name: Column, targets: list[str]) -> Column:
+    """Whether a name is one of the targets, or ends in the same last dotted part as one."""
+    return (name != "") & (name.isin(*targets) | F.substring_index(name, ".", -1).isin(*(x.rsplit(".", 1)[-1] for x in targets)))
+
+
+#: Words that tell an error's code where it names none; all words of a row must occur, the first row counts.
+ERROR_WORDS = (
+    (("soft limit", "lsp"), "ERR_LSP_GLOBAL_SOFT_LIMIT"),
+    (("slot exhausted", "lsp"), "ERR_LSP_SLOT_EXHAUSTED"),
+    (("workspace contains", "no "), "ERR_LSP_WORKSPACE_MISMATCH"),
+    (("project model missing",), "ERR_CONFIG_INVALID"),
+    (("project not found",), "ERR_LSP_DOCUMENT_SYMBOL_FAILED"),
+)
+UNKNOWN_ERROR = "ERR_LSP_EXTRACT_FAILED"
 
 
 def error_code(message: Column) -> Column:
-    """The code of a message: in brackets, before a colon, or by its wording."""
+    """The code that a message names in its first brackets or before its first colon, else the one its words tell."""
     text = F.trim(message)
-    low, bracket = F.lower(text), F.upper(F.trim(F.regexp_extract(text, r"^[^\[]*\[([^\]]*)\]", 1)))
-    has = lambda *xs: F.expr("true") if not xs else F.contains(low, F.lit(xs[0])) & has(*xs[1:])
-    return (F.when(F.startswith(bracket, F.lit("ERR_")), bracket).when(F.startswith(text, F.lit("ERR_")), F.trim(F.split_part(text, F.lit(":"), F.lit(1))))
-            .when(has("soft limit", "lsp"), "ERR_LSP_GLOBAL_SOFT_LIMIT").when(has("slot exhausted", "lsp"), "ERR_LSP_SLOT_EXHAUSTED")
-            .when(has("workspace contains", "no ", "contains"), "ERR_LSP_WORKSPACE_MISMATCH").when(has("project model missing"), "ERR_CONFIG_INVALID")
-            .when(has("project not found") | has("no workspace contains"), "ERR_LSP_DOCUMENT_SYMBOL_FAILED").otherwise("ERR_LSP_EXTRACT_FAILED"))
+    named = F.coalesce(*(F.when(F.startswith(x, F.lit("ERR_")), x) for x in (F.upper(F.trim(F.regexp_extract(text, r"^[^\[]*\[([^\]]*)\]", 1))), F.trim(F.split_part(text, F.lit(":"), F.lit(1))))))
+    rows = F.array(*(F.struct(F.array(*map(F.lit, words)).alias("words"), F.lit(code).alias("code")) for words, code in ERROR_WORDS))
+    told = F.filter(rows, lambda r: F.forall(r["words"], lambda w: F.contains(F.lower(text), w)))
+    return F.coalesce(named, F.get(told, F.lit(0))["code"], F.lit(UNKNOWN_ERROR))
 
 
 #: Codes of errors that do not pass.

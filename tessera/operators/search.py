@@ -113,9 +113,14 @@ def importance(symbols: DataFrame, calls_in: DataFrame) -> DataFrame:
     return t.withColumn("importance", C.kind_score(F.col("kind")) + 24 * F.coalesce("fan_in", F.lit(0)))
 
 
-def log_norm(column: str):
-    """Signed logarithm, at most 5: one extreme value cannot drown the rest."""
-    return F.least(F.lit(5.0), F.log1p(F.abs(column)) * F.signum(column))
+#: Fixed value: importance lies within this on both sides.
+MOST_IMPORTANCE = 200.0
+
+
+def log_norm(column: str, most: float = MOST_IMPORTANCE):
+    """Signed logarithm, within +-most (0: unbounded): one extreme value cannot drown the rest."""
+    x = F.log1p(F.abs(column)) * F.signum(column)
+    return F.greatest(F.lit(-most), F.least(F.lit(most), x)) if most > 0 else x
 
 
 def with_vectors(items: DataFrame, query: str, window: int = 20) -> DataFrame:

@@ -95,27 +95,30 @@ def h11_token_references(benchmark, symbols):
     return tokens.groupBy("item_id", "to_symbol").agg(F.count("*").alias("n")).join(names, "to_symbol", "left_semi").select("item_id", "to_symbol", F.lit("token_reference").alias("evidence_type"), "n")
 
 
-@query("""SELECT to_symbol, list_distinct(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[i:], '.'))) AS tails FROM (SELECT DISTINCT to_symbol, string_split(regexp_replace(to_symbol, '::|#', '.', 'g'), '.') AS p FROM calls)""".replace("list_distinct(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[i:], '.')))", "array_to_string(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[i:], '.')), '|')"), "calls")
+@query("""SELECT to_symbol, to_symbol || CASE WHEN contains(to_symbol, '::') THEN '|' || split_part(to_symbol, '::', -1) ELSE '' END || CASE WHEN contains(to_symbol, '.') THEN '|' || split_part(to_symbol, '.', -1) ELSE '' END AS names FROM (SELECT DISTINCT to_symbol FROM calls)""", "calls")
 def v07_base_names(calls):
     t = calls.select("to_symbol").distinct()
-    return t.select("to_symbol", F.array_join(C.dotted_tails(F.col("to_symbol")), "|").alias("tails"))
+    return t.select("to_symbol", F.array_join(C.base_names(F.col("to_symbol")), "|").alias("names"))
 
 
-@query("SELECT DISTINCT to_symbol FROM calls WHERE list_contains(['src1', 'pkg2.src2'], regexp_replace(to_symbol, '::|#', '.', 'g')) OR list_contains(['src1', 'pkg2.src2'], string_split(regexp_replace(to_symbol, '::|#', '.', 'g'), '.')[-1])", "calls")
+@query("SELECT DISTINCT to_symbol FROM calls WHERE split_part(to_symbol, '.', -1) IN ('src0', 'src4')", "calls")
 def v08_target_match(calls):
-    wanted = F.array(F.lit("src1"), F.lit("pkg2.src2"))
-    return calls.select("to_symbol").distinct().where(F.exists(C.dotted_tails(F.col("to_symbol")), lambda x: F.array_contains(wanted, x)))
+    return calls.select("to_symbol").distinct().where(C.matches_target(F.col("to_symbol"), ["src0", "other.src4"]))
 
 
 # --- writes
 
 
-@query("SELECT symbol_key, name, line FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN line % 3 = 0 THEN symbol_key END, CASE WHEN line % 3 <> 0 THEN name END, CASE WHEN line % 3 <> 0 THEN kind END ORDER BY line) AS n FROM symbols) WHERE n = 1", "symbols")
+@query("""SELECT symbol_key, name, kind, line, end_line, position FROM (SELECT *, row_number() OVER (PARTITION BY symbol_key, CASE WHEN symbol_key IS NULL THEN name END, CASE WHEN symbol_key IS NULL THEN kind END, CASE WHEN symbol_key IS NULL THEN line END, CASE WHEN symbol_key IS NULL THEN end_line END ORDER BY position) AS n FROM (
+  SELECT CASE WHEN line % 3 = 0 THEN symbol_key END AS symbol_key, name, kind, line, line + depth AS end_line, 2 * line AS position FROM symbols UNION ALL SELECT CASE WHEN line % 3 = 0 THEN symbol_key END, name, kind, line, line + CASE WHEN line % 2 = 0 THEN depth ELSE 9 END, 2 * line + 1 FROM symbols)) WHERE n = 1""", "symbols")
 def w08_dedupe_symbols(symbols):
-    """The first of each key; symbols without one (here two of three) by name and kind."""
-    keyed = F.col("line") % 3 == 0
-    keys = [F.when(keyed, F.col("symbol_key")), F.when(~keyed, F.col("name")), F.when(~keyed, F.col("kind"))]
-    return Y.first_of_each(symbols.select("symbol_key", "name", "kind", "line"), keys, "line").select("symbol_key", "name", "line")
+    """The first of each key by position in the delivery; symbols without a key by name, kind, line and end. Every symbol comes twice, some of them with
+    another end: those without a key are overloads and stay."""
+    key = F.when(F.col("line") % 3 == 0, F.col("symbol_key")).alias("symbol_key")
+    side = lambda end, at: symbols.select(key, "name", "kind", "line", (F.col("line") + end).alias("end_line"), (2 * F.col("line") + at).alias("position"))
+    rows = side(F.col("depth"), 0).unionAll(side(F.when(F.col("line") % 2 == 0, F.col("depth")).otherwise(9), 1))
+    loose = [F.when(F.col("symbol_key").isNull(), F.col(c)) for c in ("name", "kind", "line", "end_line")]
+    return Y.first_of_each(rows, [F.col("symbol_key"), *loose], "position")
 
 
 @query("SELECT DISTINCT from_symbol, to_symbol, line, caller_relative_path FROM edges", "edges")
@@ -130,12 +133,14 @@ def w04_identity_sync(files, region):
     return files.select("repo_root", "doc_id", "lang").join(names, "repo_root", "left").select("doc_id", label.alias("label"), (~F.col("lang").eqNullSafe(label)).alias("changed"))
 
 
-@query("SELECT o_orderkey, coalesce(CASE WHEN o_custkey % 4 > 0 THEN c_custkey END, c.c_custkey) AS repo_id, c.c_custkey IS NULL AS orphan FROM orders LEFT JOIN customer c ON c.c_custkey = o_custkey", "orders", "customer")
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 4 > 0 THEN -o_custkey ELSE c.c_custkey END AS repo_id, o_custkey % 4 = 0 AND c.c_custkey IS NOT NULL AS filled FROM orders LEFT JOIN customer c ON c.c_custkey = o_custkey", "orders", "customer")
 def w30_backfill_ids(orders, customer):
-    """A missing id is taken from the registry; rows that the registry does not know stay without."""
-    known = customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_custkey").alias("known"))
-    t = orders.select("o_orderkey", "o_custkey").join(known, "o_custkey", "left")
-    return t.select("o_orderkey", F.coalesce(F.when(F.col("o_custkey") % 4 > 0, F.col("known")), "known").alias("repo_id"), F.col("known").isNull().alias("orphan"))
+    """A missing id (every fourth customer's) is taken from the registry, one that is there stays; rows that the registry does not know stay without."""
+    stored = F.when(F.col("o_custkey") % 4 > 0, -F.col("o_custkey"))
+    rows = orders.select("o_orderkey", "o_custkey", stored.alias("repo_id"))
+    missing = rows.where("repo_id is null").join(customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_custkey").alias("known")), "o_custkey", "left")
+    there = rows.where("repo_id is not null").select("o_orderkey", "repo_id", F.lit(False).alias("filled"))
+    return there.unionByName(missing.select("o_orderkey", F.col("known").alias("repo_id"), F.col("known").isNotNull().alias("filled")))
 
 
 @query("SELECT v.vec_id, CASE WHEN v.vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS model, len(embedding) AS dim FROM embeddings v WHERE v.vec_id % 3 = 0 OR v.vec_id % 5 = 0", "embeddings")
@@ -365,13 +370,11 @@ def k11_vector_window(embeddings):
     return items.crossJoin(F.broadcast(q)).select("vec_id", F.col("rank").cast("bigint").alias("rank"), near.alias("similarity"))
 
 
-@query("""WITH t AS (SELECT doc_id, size_bytes, row_number() OVER (ORDER BY size_bytes DESC, doc_id) AS rank FROM (SELECT * FROM files ORDER BY size_bytes DESC, doc_id LIMIT 60))
-SELECT doc_id, row_number() OVER (ORDER BY rank > 20, CASE WHEN rank <= 20 THEN doc_id % 7 END DESC, rank) AS place FROM t""", "files")
+@query("""SELECT doc_id, rank AS place, CASE WHEN rank <= 20 THEN size_bytes END AS score FROM (SELECT doc_id, size_bytes, row_number() OVER (ORDER BY size_bytes DESC, doc_id) AS rank FROM files) WHERE rank <= 60""", "files")
 def u02_merge_window(files):
-    """The window of the first 20 is ordered anew by its score, the rest follows as it was."""
+    """The first 20 get a score of their own, the rest follows without; the order stays."""
     t = S.ranked(S.top(files.select("doc_id", "size_bytes"), 60, F.desc("size_bytes"), "doc_id"), "rank", F.desc("size_bytes"), "doc_id")
-    inside = F.col("rank") <= 20
-    return t.select("doc_id", F.row_number().over(Window.orderBy(~inside, F.when(inside, F.col("doc_id") % 7).desc_nulls_last(), "rank")).cast("bigint").alias("place"))
+    return t.select("doc_id", F.col("rank").cast("bigint").alias("place"), F.when(F.col("rank") <= 20, F.col("size_bytes")).alias("score"))
 
 
 @query("""WITH c AS (SELECT to_symbol, n, row_number() OVER (ORDER BY n DESC, to_symbol) AS rank FROM (SELECT to_symbol, count(*) AS n FROM edges GROUP BY 1 ORDER BY n DESC, to_symbol LIMIT 100))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import lifecycle as L
+from tessera.operators import search as S
 from tessera.operators import merge as M
 from tessera.plans.registry import query
 
@@ -296,10 +297,10 @@ def k09_embedding(benchmark):
     return t.select("item_id", F.col("cell").cast("bigint").alias("cell"), F.round("weight", 6).alias("weight"))
 
 
-@query("SELECT to_symbol, round(least(5.0, ln(1 + abs(x)) * sign(x)), 6)::DOUBLE AS norm FROM (SELECT to_symbol, count(*)::DOUBLE - 25 AS x FROM edges GROUP BY 1)", "edges")
+@query("SELECT to_symbol, round(greatest(-3.0, least(3.0, ln(1 + abs(x)) * sign(x))), 6)::DOUBLE AS norm FROM (SELECT to_symbol, count(*)::DOUBLE - 25 AS x FROM edges GROUP BY 1)", "edges")
 def n06_log_norm(edges):
     t = edges.groupBy("to_symbol").agg((F.count("*").cast("double") - 25).alias("x"))
-    return t.select("to_symbol", F.round(F.least(F.lit(5.0), F.log1p(F.abs("x")) * F.signum("x")), 6).alias("norm"))
+    return t.select("to_symbol", F.round(S.log_norm("x", most=3.0), 6).alias("norm"))
 
 
 @query("SELECT lang, count(*) AS asked, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)) AS hits, floor(count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)) * 10000 / count(*))::BIGINT AS hit_bps FROM files GROUP BY 1", "files", "labels")

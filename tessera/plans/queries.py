@@ -324,7 +324,7 @@ tx AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS rank, 'file:' || id
 fi AS (SELECT to_symbol, count(DISTINCT repo_root || '::' || coalesce(caller_relative_path, relative_path)) AS n FROM edges GROUP BY 1),
 im AS (SELECT s.*, (CASE kind WHEN 'class' THEN 600.0 WHEN 'function' THEN 500.0 WHEN 'interface' THEN 450.0 WHEN 'method' THEN 350.0 ELSE 0.0 END + 24 * coalesce(fi.n, 0))::DOUBLE AS base FROM symbols s LEFT JOIN fi ON fi.to_symbol = s.symbol_key WHERE contains(lower(name), 'widget') OR contains(lower(name), 'the') OR contains(lower(name), 'and')),
 sy AS (SELECT row_number() OVER (ORDER BY base DESC, symbol_key) AS rank, 'symbol:' || symbol_key AS item, name AS label, base, least(5.0, 1.0 / (1.0 + greatest(0, depth)) + CASE WHEN parent_key IS NOT NULL THEN 0.2 ELSE 0 END)::DOUBLE AS hierarchy FROM (SELECT * FROM im ORDER BY base DESC, symbol_key LIMIT 50)),
-i AS (SELECT *, round(1.0::DOUBLE / (60 + rank), 9) AS rrf, least(5.0, ln(1 + abs(base)) * sign(base))::DOUBLE AS imp FROM (SELECT * FROM tx UNION ALL SELECT * FROM sy)),
+i AS (SELECT *, round(1.0::DOUBLE / (60 + rank), 9) AS rrf, greatest(-200.0, least(200.0, ln(1 + abs(base)) * sign(base)))::DOUBLE AS imp FROM (SELECT * FROM tx UNION ALL SELECT * FROM sy)),
 r AS (SELECT *, row_number() OVER (ORDER BY rrf DESC, item) AS p FROM i),
 q AS (SELECT cell, count(*) AS n FROM (SELECT {_CELL.format('w')} AS cell FROM (SELECT unnest(['the', 'and', 'widget']) AS w)) GROUP BY 1),
 c AS (SELECT item, cell, count(*) AS n FROM (SELECT item, {_CELL.format('w')} AS cell FROM (SELECT item, unnest(regexp_extract_all(lower(label), '[a-zA-Z0-9_]+')) AS w FROM r WHERE p <= 20)) GROUP BY 1, 2),
