@@ -389,3 +389,28 @@ def test_token_totals_are_additive_and_idempotent(spark, tmp_path):
 def test_digest_of_no_spans(spark):
     r = secrets.secret_scan(frame(spark, [(1, "", "")])).select(F.sha2(secrets.span_digest(F.col("spans")), 256).alias("x")).first()
     assert r["x"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_batch_ids_are_any_strings_and_a_cut_batch_is_not_seen(spark, tmp_path, monkeypatch):
+    t = token_counts.TokenTotals(spark, str(tmp_path / "ids"))
+    counters = {"v": token_counts.word_counter}
+    sums = lambda: [(r.n_docs, r.n_tokens) for r in t.totals().collect()]
+    assert t.commit("1", frame(spark, [(1, "a b", "x")]), counters) and sums() == [(1, 2)]
+    create = spark.createDataFrame
+    docs = frame(spark, [(2, "c d e", "x")])  # the writer stops before the marker of batch 01
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **k: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        t.commit("01", docs, counters)
+    monkeypatch.undo()
+    assert spark.createDataFrame == create and sums() == [(1, 2)]
+    assert t.commit("01", docs, counters) and sums() == [(2, 5)] and not t.commit("01", docs, counters)
+    for i, batch in enumerate(("2026/01", "2026-01-01", "a=b c", "", "%2F..", "1 ", "null", "é" * 300)):
+        assert t.commit(batch, frame(spark, [(10 + i, "w", "x")]), counters) and not t.commit(batch, docs, counters) and sums() == [(3 + i, 6 + i)]
+
+
+def test_the_last_of_a_batch_by_sequence_counts(spark, tmp_path):
+    t = token_counts.TokenTotals(spark, str(tmp_path / "order"))
+    changes = lambda rows: spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string, deleted boolean, sequence int")
+    counters = {"v": token_counts.word_counter}
+    t.commit("a", changes([(1, "x", "en", "a", True, 1), (1, "x", "en", "a b", False, 2), (2, "x", "en", "a b c", False, 1), (2, "x", "en", None, True, 2), (3, "x", "en", "z", False, 5)]), counters)
+    assert [(r.n_docs, r.n_tokens) for r in t.totals().collect()] == [(2, 3)]
