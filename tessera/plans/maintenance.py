@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tessera.operators import collect as L
 from tessera.operators import commits
 from tessera.operators import search as S
 from tessera.operators import segments as G
@@ -68,3 +69,16 @@ def w26_flush(files, l4):
     commits.flush(tables, {"files": half(a, 1), "layers": half(b, 1)})
     total = lambda t, c: tables.read(t).groupBy(F.lit(t).alias("name"), "lang").agg(F.count("*").alias("n"), F.sum(c).alias("total"))
     return total("files", "size_bytes").unionByName(total("layers", "doc_id"))
+
+
+_IGNORES = ["*.lock", "!app/**/doc_?5*.lock", "/tests/de/", "lib/**"]
+
+
+@query("""SELECT repo_root, relative_path, CASE WHEN size_bytes > 5000 THEN 'size' WHEN CASE WHEN starts_with(relative_path, 'lib/') THEN NOT (repo_root = '/ws/src1' AND regexp_matches(relative_path, '^lib/en/[^/]*\\.py$')) ELSE starts_with(relative_path, 'tests/de/') OR (relative_path LIKE '%.lock' AND NOT regexp_matches(relative_path, '^app/(.*/)?doc_.5[^/]*\\.lock$')) END THEN 'ignored'
+  WHEN NOT regexp_matches(relative_path, '\\.(py|java|lock)$') THEN 'extension' WHEN regexp_matches(relative_path, '^src/(.*/)?doc_[^/]*7\\.py$') THEN 'excluded' END AS reason FROM files""", "files")
+def s04_collectible(files):
+    """Every repository has the same ignore file at its root; one has another in lib that takes a part of it back."""
+    roots = files.select("repo_root").distinct()
+    rules = roots.select("repo_root", F.lit("").alias("folder"), F.lit("\n".join(_IGNORES)).alias("text")).unionByName(roots.where("repo_root = '/ws/src1'").select("repo_root", F.lit("lib").alias("folder"), F.lit("!en/*.py").alias("text")))
+    t = L.collectible(files.select("repo_root", "relative_path", "size_bytes"), rules, (".py", ".java", ".lock"), ("src/**/doc_*7.py",), most_bytes=5000)
+    return t.select("repo_root", "relative_path", "reason")
