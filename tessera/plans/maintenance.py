@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tessera.operators import caches as K
 from tessera.operators import collect as L
 from tessera.operators import commits
 from tessera.operators import search as S
@@ -82,3 +83,27 @@ def s04_collectible(files):
     rules = roots.select("repo_root", F.lit("").alias("folder"), F.lit("\n".join(_IGNORES)).alias("text")).unionByName(roots.where("repo_root = '/ws/src1'").select("repo_root", F.lit("lib").alias("folder"), F.lit("!en/*.py").alias("text")))
     t = L.collectible(files.select("repo_root", "relative_path", "size_bytes"), rules, (".py", ".java", ".lock"), ("src/**/doc_*7.py",), most_bytes=5000)
     return t.select("repo_root", "relative_path", "reason")
+
+
+@query("""SELECT doc_id, hit, CASE WHEN hit IS NOT NULL THEN 'items ' || doc_id END AS items FROM (SELECT doc_id, CASE WHEN doc_id % 10 > 1 AND NOT (doc_id % 11 = 0 AND doc_id % 10 <= 5) AND doc_id % 7 > 0 THEN
+  CASE WHEN (doc_id % 3 = 0 AND doc_id % 2 = 0) OR (doc_id % 3 = 2 AND doc_id % 2 = 1) THEN 'variant' WHEN doc_id % 3 = 1 AND doc_id % 2 = 0 THEN 'legacy' END END AS hit FROM files)""", "files")
+def w17_cache_lookup(files):
+    """Entries under both variants and under bare queries; a tenth of the files and, earlier, everything is made invalid; a seventh is of an older content."""
+    id_ = F.col("doc_id")
+    by = ["repo_root", "relative_path"]
+    query_, content = F.lit("query"), F.concat(F.lit("h"), id_)
+    key = F.when(id_ % 3 == 0, K.cache_key(query_, F.lit("list"))).when(id_ % 3 == 1, query_).otherwise(K.cache_key(query_, F.lit("detail")))
+    puts = files.select(*by, key.alias("key"), F.when(id_ % 7 == 0, "older").otherwise(content).alias("content_hash"), F.concat(F.lit("items "), id_).alias("items"), (id_ % 10).alias("at"))
+    gone = files.where("doc_id % 11 = 0").select(*by, F.lit(5).cast("bigint").alias("at"))
+    gone = gone.unionByName(files.sparkSession.createDataFrame([(None, None, 1)], "repo_root string, relative_path string, at bigint"))
+    asked = files.select("doc_id", *by, query_.alias("query"), F.when(id_ % 2 == 0, " List").otherwise("detail").alias("variant"), content.alias("content_hash"))
+    return K.cached_items(asked, puts, gone, by).select("doc_id", "hit", "items")
+
+
+@query("SELECT to_symbol, CASE WHEN count(*) % 3 = 0 THEN count(*) END AS n FROM edges GROUP BY to_symbol", "edges")
+def b52_cached_fan_in(edges):
+    """Counts are cached under the epoch of their time, twice each; where the later one is of another epoch nothing is found."""
+    counts = edges.groupBy("to_symbol").agg(F.count("*").alias("n"))
+    put = lambda epoch, n, at: counts.select("to_symbol", epoch.alias("epoch"), n.alias("n"), F.lit(at).alias("at"))
+    puts = put(F.lit(0).cast("bigint"), F.lit(-1).cast("bigint"), 1).unionByName(put(F.col("n") % 3, F.col("n"), 2))
+    return K.cached_counts(counts.select("to_symbol", F.lit(0).cast("bigint").alias("epoch")), puts, ["to_symbol"]).select("to_symbol", "n")
