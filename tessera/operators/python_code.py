@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import materialize
+
 #: The confidence of each kind of evidence.
 CONFIDENCE = {"python_route_registration": 0.9, "python_route_decorator": 0.8, "python_mcp_dispatch": 0.85, "python_bound_attribute_call": 0.9, "python_registry_dispatch": 0.8, "python_include_router": 0.75, "python_protocol_base": 0.9, "python_structural_protocol_match": 0.8}
 #: Decorators that make a function an endpoint.
@@ -149,14 +151,15 @@ def code_facts(text: str | None) -> list[tuple]:
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """(repo_root, relative_path, fact, owner, name, target, line, at) of Python files (repo_root, relative_path, text). Files that do not parse have none."""
+    """(repo_root, relative_path, fact, owner, name, target, line, at) of Python files (repo_root, relative_path, text), as a
+    written table: every file is parsed once, whatever joins follow. Files that do not parse have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(r, p, *x) for r, p, t in zip(batch["repo_root"], batch["relative_path"], batch["text"], strict=True) for x in code_facts(t)]
             yield pd.DataFrame(rows, columns=["repo_root", "relative_path", "fact", "owner", "name", "target", "line", "at"])
 
-    return files.select("repo_root", "relative_path", "text").mapInPandas(run, f"repo_root string, relative_path string, {FACTS}")
+    return materialize(files.select("repo_root", "relative_path", "text").mapInPandas(run, f"repo_root string, relative_path string, {FACTS}"), "facts")
 
 
 def scope_of(path: Column) -> Column:
@@ -227,7 +230,7 @@ def class_specs(files: DataFrame) -> DataFrame:
                         rows.append((root, path, c.name, c.lineno, c.end_lineno, [b for b in (dotted(x, False) for x in c.bases) if b], [dict(zip(("name", "positional", "keywords"), m, strict=True)) for m in methods]))
             yield pd.DataFrame(rows, columns=["repo_root", "relative_path", "name", "line", "end_line", "bases", "methods"])
 
-    found = files.where(kept).select("repo_root", "relative_path", "text").mapInPandas(run, f"repo_root string, relative_path string, {_CLASS}")
+    found = materialize(files.where(kept).select("repo_root", "relative_path", "text").mapInPandas(run, f"repo_root string, relative_path string, {_CLASS}"), "classes")  # every file is parsed once
     tails = F.transform("bases", lambda x: F.substring_index(x, ".", -1))
     return found.withColumn("bases", tails).withColumn("is_protocol", F.array_contains("bases", "Protocol"))
 

@@ -9,6 +9,7 @@ from tessera.operators import outline as O
 from tessera.operators import python_code as P
 from tessera.operators import quality as Q
 from tessera.plans.registry import query
+from tessera.sources.shared import materialize
 
 # Line by line, in place of offsets: a match begins after the last line that is not empty.
 _LINES = """WITH l AS (SELECT repo_root, relative_path, lang, i, line, coalesce(max(CASE WHEN trim(line) <> '' THEN i END) OVER (PARTITION BY relative_path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS start
@@ -139,7 +140,7 @@ SELECT r.lang, count(*) AS files, round(avg(round(recall, 9)), 6) AS recall, rou
   coalesce((SELECT string_agg(flag || '=' || n, ',' ORDER BY flag) FROM z WHERE z.lang = r.lang), '') AS flags, coalesce((SELECT string_agg(pattern || '=' || n, ',' ORDER BY n DESC, pattern) FROM x WHERE x.lang = r.lang), '') AS top_missing FROM r GROUP BY r.lang""", "sources", "known")
 def g22_shadow_languages(sources, known):
     """Two halves of the files are summed apart and added up."""
-    files = Q.file_quality(_matches(sources, known), ["relative_path"])
+    files = materialize(Q.file_quality(_matches(sources, known), ["relative_path"]), "quality")
     half = lambda n: Q.shadow_counts(files.where(F.pmod(F.xxhash64("relative_path"), F.lit(2)) == n))
     t = Q.shadow_summary(Q.merge_shadow(half(0).unionByName(half(1))))
     return t.withColumns({c: F.array_join(c, ",") for c in ("flags", "top_missing")})
