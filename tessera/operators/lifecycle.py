@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import columns as C
+
 
 def lane(reason: Column) -> Column:
     return F.when(F.coalesce(F.startswith(reason, F.lit("l5:")), F.lit(False)), "l5").otherwise("default")
@@ -140,3 +142,16 @@ def bundle(items: DataFrame, by: str, order: str, key: str, most: int = 128) ->
     kept = first.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("at"), F.desc(key)))).where(F.col("n") <= most)
     listed = F.transform(F.sort_array(F.collect_list(F.struct("at", key))), lambda x: x[key])
     return kept.groupBy(by).agg(F.count("*").alias("items"), F.sha2(F.array_join(listed, ","), 256).alias("bundle_id"))
+
+
+def escalate_scope(failed: DataFrame, now: Column, min_defer: int = 0, most_attempts: int = 2) -> DataFrame:
+    """failed (job_id, repo_root, relative_path, scope_level, scope_attempts, message) whose error a wider scope may mend, as their rows stand
+    afterwards: pending again at the next scope, with one more attempt, no reason to wait and a retry not before min_defer
+    seconds from now. Jobs with most_attempts attempts, at the widest scope or with another error have no row. A repo scope begins at the file's first
+    folder, a workspace scope (or a file without a folder) at the repository's root."""
+    level = C.wider_scope(F.col("scope_level"))
+    due = C.widens_scope(C.error_code(F.col("message")), F.col("message")) & (F.greatest(F.coalesce("scope_attempts", F.lit(0)), F.lit(0)) < most_attempts) & level.isNotNull()
+    first = F.regexp_extract("relative_path", r"^([^/]+)/+[^/]", 1)
+    root = F.when((level == "repo") & ~first.isin("", ".", ".."), F.concat_ws("/", "repo_root", first)).otherwise(F.col("repo_root"))
+    return failed.where(due).select("job_id", F.lit("PENDING").alias("status"), level.alias("scope_level"), root.alias("scope_root"), (F.coalesce("scope_attempts", F.lit(0)) + 1).cast("int").alias("scope_attempts"),
+                                    (now + F.make_interval(secs=F.lit(min_defer))).alias("next_retry_at"), F.lit(None).cast("string").alias("defer_reason"))

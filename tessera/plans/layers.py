@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import layers as Y
+from tessera.operators import lifecycle as L
 from tessera.operators import merge as M
 from tessera.operators import search as S
 from tessera.plans.registry import query
@@ -149,20 +150,15 @@ def w16_embedding_upsert(embeddings):
     return M.upsert(side(5, "old"), side(3, "new"), ["vec_id"])
 
 
-@query("SELECT user_id, CASE WHEN user_id % 5 = 0 THEN 'GLOBAL' ELSE 'REPO' END AS scope, count(*) AS n, max(ts) AS last FROM jobs WHERE status = 'DEAD' GROUP BY ALL", "jobs")
-def w22_error_events(jobs):
-    scope = F.when(F.col("user_id") % 5 == 0, "GLOBAL").otherwise("REPO")
-    return jobs.where("status = 'DEAD'").groupBy("user_id", scope.alias("scope")).agg(F.count("*").alias("n"), F.max("ts").alias("last"))
-
-
-# --- the queue
-
-
-@query("""SELECT job_id, 'PENDING' AS status, CASE WHEN priority > 40 THEN 'workspace' WHEN priority > 20 THEN 'repo' ELSE 'module' END AS scope_level, job_id % 3 + 1 AS scope_attempts, NULL::VARCHAR AS defer_reason FROM queue WHERE status = 'FAILED'""", "queue")
+@query("""SELECT job_id, 'PENDING' AS status, CASE WHEN job_id % 4 < 2 THEN 'repo' ELSE 'workspace' END AS scope_level, CASE WHEN job_id % 4 = 1 THEN repo_root || '/src' ELSE repo_root END AS scope_root, (job_id % 3 + 1)::INTEGER AS scope_attempts, TIMESTAMP '1996-06-30 00:00:30' AS next_retry_at, NULL::VARCHAR AS defer_reason
+FROM queue WHERE status = 'FAILED' AND job_id % 4 < 3 AND job_id % 3 < 2 AND job_id % 7 <> 3 AND job_id % 7 <> 4""", "queue")
 def q07_scope_escalation(queue):
-    """A failed job goes on a level higher, with one more attempt and no reason to wait."""
-    level = F.when(F.col("priority") > 40, "workspace").when(F.col("priority") > 20, "repo").otherwise("module")
-    return queue.where("status = 'FAILED'").select("job_id", F.lit("PENDING").alias("status"), level.alias("scope_level"), (F.col("job_id") % 3 + 1).alias("scope_attempts"), F.lit(None).cast("string").alias("defer_reason"))
+    """Failed jobs with errors of seven kinds at four scopes, after up to two attempts."""
+    id_ = F.col("job_id")
+    texts = ["[ERR_LSP_FILE_NOT_IN_SCOPE] x", "ERR_CONFIG_INVALID: y", "LSP: No workspace contains this", "soft limit of lsp", "anything else", "the Scope Root is odd", "[err_lsp_document_symbol_failed] Project not found"]
+    failed = queue.where("status = 'FAILED'").select("job_id", "repo_root", F.when(id_ % 2 == 1, "src/in/m.py").otherwise("m.py").alias("relative_path"), F.element_at(F.array(F.lit(None), F.lit("module"), F.lit(" Repo"), F.lit("workspace")), (id_ % 4 + 1).cast("int")).alias("scope_level"),
+                                                     (id_ % 3).cast("int").alias("scope_attempts"), F.element_at(F.array(*map(F.lit, texts)), (id_ % 7 + 1).cast("int")).alias("message"))
+    return L.escalate_scope(failed, F.expr("timestamp_ntz '1996-06-30 00:00:00'"), 30)
 
 
 @query("SELECT job_id, greatest(created_at, TIMESTAMP '1996-06-30' + INTERVAL 30 SECOND) AS next_retry_at FROM queue WHERE status = 'PENDING'", "queue")

@@ -107,3 +107,15 @@ def b52_cached_fan_in(edges):
     put = lambda epoch, n, at: counts.select("to_symbol", epoch.alias("epoch"), n.alias("n"), F.lit(at).alias("at"))
     puts = put(F.lit(0).cast("bigint"), F.lit(-1).cast("bigint"), 1).unionByName(put(F.col("n") % 3, F.col("n"), 2))
     return K.cached_counts(counts.select("to_symbol", F.lit(0).cast("bigint").alias("epoch")), puts, ["to_symbol"]).select("to_symbol", "n")
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 5 = 0 THEN 'GLOBAL' ELSE 'REPO' END AS scope, CASE WHEN user_id % 5 > 0 THEN user_id END AS repo_id, event_type AS code FROM jobs WHERE status = 'DEAD'""", "jobs")
+def w22_error_events(jobs):
+    """Errors are appended in two commits, those without a repository as global; the log is read back."""
+    spark = jobs.sparkSession
+    tables = commits.TableSet(spark, f"{shared_dir(spark)}/errors-{uuid.uuid4().hex}")
+    repo = F.when(F.col("user_id") % 5 > 0, F.col("user_id"))
+    events = jobs.where("status = 'DEAD'").select("event_id", F.when(repo.isNull(), "GLOBAL").otherwise("REPO").alias("scope"), repo.alias("repo_id"), F.col("event_type").alias("code"))
+    for n in (0, 1):
+        commits.flush(tables, {"error_events": events.where(F.col("event_id") % 2 == n)})
+    return tables.read("error_events")

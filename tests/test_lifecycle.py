@@ -42,3 +42,11 @@ def test_embedding_has_length_one(spark):
     df = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "i int, t string")
     got = {r["i"]: r["v"] for r in df.select("i", L.embed(F.col("t")).alias("v")).collect()}
     assert abs(sum(x * x for x in got[1]) - 1) < 1e-12 and not any(got[2]) and len(got[1]) == 128 and (got[3] is None or not any(x or 0 for x in got[3]))
+
+
+def test_scopes_widen_twice_at_most(spark):
+    rows = [(1, "src/a.py", None, None, "[ERR_CONFIG_INVALID] x"), (2, "src/a.py", "repo", 1, "not in scope"), (3, "a.py", "module", 0, "project model missing"), (4, "a.py", "workspace", 0, "not in scope"), (5, "a.py", "repo", 2, "not in scope"),
+            (6, "a.py", "repo", 0, None), (7, "a.py", "odd", 0, "not in scope"), (8, "../a.py", "module", -1, "ERR_LSP_DOCUMENT_SYMBOL_FAILED: project not found"), (9, "a.py", "module", 0, "ERR_LSP_DOCUMENT_SYMBOL_FAILED: broken")]
+    failed = spark.createDataFrame([(i, "/r", *x) for i, *x in rows], "job_id int, repo_root string, relative_path string, scope_level string, scope_attempts int, message string")
+    got = {r.job_id: (r.scope_level, r.scope_root, r.scope_attempts) for r in L.escalate_scope(failed, F.expr("timestamp_ntz '2020-01-01 00:00:00'")).collect()}
+    assert got == {1: ("repo", "/r/src", 1), 2: ("workspace", "/r", 2), 3: ("repo", "/r", 1), 8: ("repo", "/r", 0)}
