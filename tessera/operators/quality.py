@@ -169,3 +169,21 @@ def shadow_summary(counts: DataFrame, language: str = "lang", top: int = TOP) ->
     means = (F.round(F.col(c) / F.col("files") / 1_000_000_000, 6).alias(c) for c in _RATES)
     none = F.array().cast("array<string>")
     return sums.select(language, "files", *means).join(flags, language, "left").join(best, language, "left").withColumns({c: F.coalesce(c, none) for c in ("flags", "top_missing")})
+
+
+def recall_regression(summary: DataFrame) -> DataFrame:
+    """One row: regression_pct, by how much the mean recall falls short of all, languages weighted by their files (at least 1 each); recalls above 1 are
+    percentages. Null without a language."""
+    ratio = F.when(F.col("recall") > 1, F.col("recall") / 100).otherwise(F.col("recall"))
+    ratio, weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio)), F.greatest(F.lit(1.0), F.coalesce(F.col("files").cast("double"), F.lit(1.0)))
+    short = (1 - F.try_divide(F.sum(ratio * weight), F.sum(weight))) * 100
+    return summary.where("recall is not null").agg(F.when(short.isNotNull(), F.greatest(F.lit(0.0), short)).alias("regression_pct"))
+
+
+def stage_exit(values: DataFrame) -> DataFrame:
+    """values with a_to_b and b_to_c: whether a stage may be left. parse_pct, degraded_pct, admission_pct, admission_base, regression_pct, pending_p95, pending_base,
+    pending; null means not measured, which fails, but for the bases (then fixed bounds hold) and where nothing is pending."""
+    c, holds = F.col, lambda x: F.coalesce(x, F.lit(False))
+    a = holds(c("parse_pct") >= 95) & holds(c("degraded_pct") <= 10) & holds(c("admission_pct") <= F.coalesce(c("admission_base") * 1.3, F.lit(30.0)))
+    age = holds(c("pending_p95") <= F.coalesce(c("pending_base") * 1.2, F.lit(10.0))) | holds(c("pending") == 0)
+    return values.withColumns({"a_to_b": a, "b_to_c": holds(c("regression_pct") <= 1) & age & holds(c("admission_pct") <= 5)})

@@ -292,14 +292,6 @@ def g23_dataset_result(jobs):
     return t.select("event_type", "done", "dead", F.round(pct, 6).alias("error_pct"), F.round(F.col("done") / F.col("wall"), 4).alias("per_second"), ((F.col("done") / F.col("wall") >= 0.00001) & (pct <= 0.5)).alias("passes"))
 
 
-@query("""WITH l AS (SELECT lang, count(*) AS n, count(*) FILTER (WHERE enrich_state <> 'FAILED') AS ok, count(*) FILTER (WHERE enrich_state = 'L3_SKIPPED') AS degraded FROM files WHERE NOT is_deleted GROUP BY 1)
-SELECT round(100.0 * sum(ok) / sum(n), 6)::DOUBLE AS parse_pct, round(100.0 * sum(degraded) / sum(n), 6)::DOUBLE AS degraded_pct, round(sum(n * (ok / n)) / sum(n), 6)::DOUBLE AS weighted_recall, 100.0 * sum(ok) / sum(n) >= 95 AND 100.0 * sum(degraded) / sum(n) <= 10 AS passes FROM l""", "files")
-def g24_stage_exit(files):
-    by = files.where("not is_deleted").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("enrich_state") != "FAILED").alias("ok"), F.count_if(F.col("enrich_state") == "L3_SKIPPED").alias("degraded"))
-    pct = lambda c: 100.0 * F.sum(c) / F.sum("n")
-    return by.agg(F.round(pct("ok"), 6).alias("parse_pct"), F.round(pct("degraded"), 6).alias("degraded_pct"), F.round(F.sum(F.col("n") * (F.col("ok") / F.col("n"))) / F.sum("n"), 6).alias("weighted_recall"), ((pct("ok") >= 95) & (pct("degraded") <= 10)).alias("passes"))
-
-
 # --- sessions
 
 

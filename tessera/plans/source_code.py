@@ -144,3 +144,22 @@ def g22_shadow_languages(sources, known):
     half = lambda n: Q.shadow_counts(files.where(F.pmod(F.xxhash64("relative_path"), F.lit(2)) == n))
     t = Q.shadow_summary(Q.merge_shadow(half(0).unionByName(half(1))))
     return t.withColumns({c: F.array_join(c, ",") for c in ("flags", "top_missing")})
+
+
+@query(_QUALITY + """, g AS (SELECT lang, count(*) AS files, round(avg(round(recall, 9)), 6) AS recall FROM r GROUP BY lang), v AS (SELECT (SELECT 100.0 * count(*) FILTER (WHERE enrich_state <> 'FAILED') / count(*) FROM files WHERE NOT is_deleted) AS parse_pct,
+  (SELECT 100.0 * count(*) FILTER (WHERE enrich_state = 'L3_SKIPPED') / count(*) FROM files WHERE NOT is_deleted) AS degraded_pct, (SELECT 100.0 * count(*) FILTER (WHERE degraded) / count(*) FROM l4) AS admission_pct,
+  (SELECT 100 * (1 - sum(recall * files) / sum(files)) FROM g) AS regression_pct, (SELECT count(*) FROM queue WHERE status = 'PENDING') AS pending)
+SELECT round(parse_pct, 6)::DOUBLE AS parse_pct, round(degraded_pct, 6)::DOUBLE AS degraded_pct, round(admission_pct, 6)::DOUBLE AS admission_pct, round(regression_pct, 4)::DOUBLE AS regression_pct, pending,
+  parse_pct >= 95 AND degraded_pct <= 10 AND admission_pct <= 30 AS a_to_b, regression_pct <= 1 AND pending = 0 AND admission_pct <= 5 AS b_to_c FROM v""", "files", "l4", "queue", "sources", "known")
+def g24_stage_exit(files, l4, queue, sources, known):
+    """Each value is one row."""
+    pct = lambda c: 100.0 * F.count_if(c) / F.count("*")
+    live = files.where("not is_deleted").agg(pct(F.col("enrich_state") != "FAILED").alias("parse_pct"), pct(F.col("enrich_state") == "L3_SKIPPED").alias("degraded_pct"))
+    summary = Q.shadow_summary(Q.shadow_counts(Q.file_quality(_matches(sources, known), ["relative_path"])))
+    rows = (live, l4.agg(pct(F.col("degraded")).alias("admission_pct")), Q.recall_regression(summary), queue.where("status = 'PENDING'").agg(F.count("*").alias("pending")))
+    values = rows[0]
+    for x in rows[1:]:
+        values = values.join(F.broadcast(x), F.lit(True))
+    none = F.lit(None).cast("double")
+    t = Q.stage_exit(values.withColumns({"admission_base": none, "pending_base": none, "pending_p95": none}))
+    return t.select(*(F.round(c, 6).alias(c) for c in ("parse_pct", "degraded_pct", "admission_pct")), F.round("regression_pct", 4).alias("regression_pct"), "pending", "a_to_b", "b_to_c")

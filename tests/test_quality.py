@@ -88,3 +88,12 @@ def test_quality_of_files_and_halves_of_a_summary(spark):
             counts[x.pattern] = counts.get(x.pattern, 0) + x.n
     assert summary["java"].top_missing == [f"{p}={n}" for p, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:2]]
     assert Q.shadow_summary(whole.limit(0)).collect() == [] and Q.shadow_counts(t.where(F.lit(False))).collect() == []
+
+
+def test_stage_exit(spark):
+    summary = spark.createDataFrame([("a", 0.5, 3), ("b", 90.0, 1), ("c", None, 9), ("d", 1.0, 0)], "lang string, recall double, files int")
+    assert abs(Q.recall_regression(summary).first()[0] - 100 * (1 - (1.5 + 0.9 + 1.0) / 5)) < 1e-9
+    assert Q.recall_regression(summary.limit(0)).first()[0] is None
+    rows = [(95.0, 10.0, 30.0, None, 1.0, 10.0, None, 4), (95.0, 10.0, 6.0, 4.0, 0.0, 13.0, 11.0, 4), (99.0, 0.0, 5.2, 4.0, 1.1, 1.0, None, 0), (99.0, 0.0, 5.0, 5.0, 1.0, None, None, 0), (None, 0.0, None, None, None, 1.0, None, 0), (99.0, 0.0, 5.0, None, 1.0, None, None, None)]
+    df = spark.createDataFrame(rows, "parse_pct double, degraded_pct double, admission_pct double, admission_base double, regression_pct double, pending_p95 double, pending_base double, pending int")
+    assert [(r.a_to_b, r.b_to_c) for r in Q.stage_exit(df).collect()] == [(True, False), (False, False), (True, False), (True, True), (False, False), (True, False)]
