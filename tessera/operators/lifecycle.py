@@ -124,17 +124,6 @@ def embed(text: Column, dim: int = 128) -> Column:
     return F.transform(F.array(counts), lambda v: F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm(v)), F.lit(0.0))))[0]
 
 
-def auto_hold(alerts: DataFrame, order: str, state: str) -> DataFrame:
-    """The hold after every alert: a warning or critical one sets it where it is not set, a good one releases it. All
-    hold here is set by this rule, so it is that of the last alert. action: what the alert did. alerts: a row a window
-    of time, few; the order is over all of them."""
-    w = Window.orderBy(order)
-    held = F.col(state).isin("warn", "critical")
-    before = F.coalesce(F.lag(held).over(w), F.lit(False))
-    action = F.when(held & ~before, "HOLD_ENABLED").when(~held & before, "HOLD_RELEASED").otherwise("NO_CHANGE")
-    return alerts.withColumns({"held": held, "action": action})
-
-
 def bundle(items: DataFrame, by: str, order: str, key: str, most: int = 128) -> DataFrame:
     """By session the last `most` items in order of their first use and the digest of their keys, joined by commas. Older
     items leave first; only ranked items below the bound are collected."""

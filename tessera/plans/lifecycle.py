@@ -10,6 +10,7 @@ from tessera.operators import lifecycle as L
 from tessera.operators import search as S
 from tessera.operators import merge as M
 from tessera.plans.registry import query
+from tessera.streaming import folds
 
 NOW = "timestamp_ntz '1996-06-30 00:00:00'"
 
@@ -144,13 +145,47 @@ def r09_token_bucket(jobs):
     return L.token_bucket(jobs, "user_id", "event_id", 86400, 3)
 
 
-@query("""WITH a AS (SELECT start, CASE WHEN bps > 2500 THEN 'critical' WHEN bps > 1500 THEN 'warn' ELSE 'ok' END AS state FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, floor(count(*) FILTER (WHERE status = 'DEAD') * 10000 / count(*))::BIGINT AS bps FROM jobs GROUP BY 1)),
-h AS (SELECT *, state <> 'ok' AS held, coalesce(lag(state <> 'ok') OVER (ORDER BY start), false) AS was FROM a)
-SELECT start, state, held, CASE WHEN held AND NOT was THEN 'HOLD_ENABLED' WHEN NOT held AND was THEN 'HOLD_RELEASED' ELSE 'NO_CHANGE' END AS action FROM h""", "jobs")
+_KIND = "CASE event_type WHEN 'signup' THEN 'ok' WHEN 'view' THEN 'ok' WHEN 'click' THEN 'warn' WHEN 'error' THEN 'critical' ELSE CASE WHEN event_id % 2 = 0 THEN 'hold' ELSE 'release' END END"
+
+
+@query(f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM (SELECT event_id, user_id, ts, {_KIND} AS kind FROM jobs)),
+r AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS id, NULL::VARCHAR AS kind, false AS held, false AS own, NULL::VARCHAR AS action FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL SELECT user_id, i, event_id, kind, CASE action WHEN 'HOLD_ENABLED' THEN true WHEN 'HOLD_RELEASED' THEN false WHEN 'BY_HAND' THEN kind = 'hold' ELSE held END, CASE action WHEN 'HOLD_ENABLED' THEN true WHEN 'HOLD_RELEASED' THEN false ELSE own END, action
+    FROM (SELECT e.*, r.held, r.own, CASE WHEN e.kind IN ('hold', 'release') THEN 'BY_HAND' WHEN e.kind IN ('warn', 'critical') AND NOT r.held THEN 'HOLD_ENABLED' WHEN e.kind = 'ok' AND r.own AND r.held THEN 'HOLD_RELEASED' ELSE 'NO_CHANGE' END AS action FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+SELECT user_id, id, kind, held, own, action FROM r WHERE i > 0""", "jobs")
 def r16_auto_hold(jobs):
-    t = jobs.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("start")).agg(C.basis_points(F.count_if(F.col("status") == "DEAD"), F.count("*")).alias("bps"))
-    t = t.select("start", F.when(F.col("bps") > 2500, "critical").when(F.col("bps") > 1500, "warn").otherwise("ok").alias("state"))
-    return L.auto_hold(t, "start", "state")
+    return folds.fold_table(jobs.select("user_id", "ts", F.col("event_id").alias("id"), F.expr(_KIND).alias("kind")), "user_id", "ts", "id", folds.auto_hold())
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM (SELECT event_id, user_id, epoch_us(ts) AS t, CASE event_type WHEN 'signup' THEN 'warm' WHEN 'purchase' THEN 'startup' WHEN 'error' THEN 'other' ELSE 'flush' END AS kind, event_id % 90 AS n FROM jobs)),
+r AS (SELECT user_id, 0::BIGINT AS i, false AS opened, 0::BIGINT AS n, 0::BIGINT AS files, NULL::BIGINT AS due, NULL::BIGINT AS "at", NULL::VARCHAR AS cause, 0::BIGINT AS drained, 0::BIGINT AS taken FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL SELECT user_id, CASE WHEN rings THEN i ELSE i + 1 END, opened OR (NOT rings AND (kind = 'warm' OR kind = 'startup' AND new > 0)), CASE WHEN cause IS NOT NULL THEN 0 WHEN added > 0 THEN n + 1 ELSE n END, files + added - taken,
+      CASE WHEN cause IS NOT NULL THEN CASE WHEN files > taken THEN moment + 43200000000 END WHEN added > 0 THEN CASE WHEN opened OR kind = 'startup' THEN least(moment + 21600000000, coalesce(due, moment + 21600000000)) END ELSE due END, moment, cause, n, taken
+    FROM (SELECT *, CASE WHEN cause IS NULL THEN 0 ELSE least(50, files) END AS taken
+      FROM (SELECT *, CASE WHEN rings THEN CASE WHEN n > 0 THEN 'flush' ELSE 'poll' END WHEN kind = 'warm' THEN 'warm' END AS cause, CASE WHEN NOT rings AND kind IN ('flush', 'startup') THEN new ELSE 0 END AS added, CASE WHEN rings THEN due ELSE arrived END AS moment
+        FROM (SELECT r.user_id, r.i, r.opened, r.n, r.files, r.due, e.t AS arrived, e.kind, e.n AS new, r.due IS NOT NULL AND (e.t IS NULL OR r.due <= e.t) AS rings FROM r LEFT JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) WHERE rings OR arrived IS NOT NULL)))
+SELECT user_id, "at", cause AS trigger, drained AS n, taken AS files FROM r WHERE taken > 0""", "jobs")
+def r08_upgrade_batches(jobs):
+    """A user stands for a repository; hours for seconds."""
+    kind = F.when(F.col("event_type") == "signup", "warm").when(F.col("event_type") == "purchase", "startup").when(F.col("event_type") == "error", "other").otherwise("flush")
+    t = jobs.select("user_id", "ts", "event_id", kind.alias("kind"), (F.col("event_id") % 90).alias("files"))
+    return folds.fold_table(t, "user_id", "ts", "event_id", folds.upgrade_batches(6 * 3600_000_000, 12 * 3600_000_000))
+
+
+_REFUSED = "CASE event_type WHEN 'error' THEN 'pressure_burst_exceeded' WHEN 'signup' THEN 'mode_not_allowed' END"
+
+
+@query(f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM (SELECT event_id, user_id, epoch_us(ts) // 3600 AS t, event_id % 5 AS f, {_REFUSED} AS refused FROM jobs)),
+r AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS id, NULL::BIGINT AS f, NULL::VARCHAR AS reason, NULL::BIGINT AS until, []::BIGINT[] AS admitted, [0, 0, 0, 0, 0]::BIGINT[] AS waits FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL SELECT user_id, i, event_id, f, reason, until, CASE WHEN reason IS NULL THEN list_append(recent, t) ELSE recent END, list_transform(waits, lambda w, k: CASE WHEN k = f + 1 THEN coalesce(until, 0) ELSE w END)
+    FROM (SELECT *, CASE WHEN reason IS NOT NULL THEN greatest(t, waits[f + 1]) + CASE reason WHEN 'pressure_rate_exceeded' THEN 30000000 WHEN 'cooldown_active' THEN 15000000 ELSE 10000000 END END AS until
+      FROM (SELECT *, CASE WHEN len(recent) >= 3 THEN 'pressure_rate_exceeded' WHEN refused IS NOT NULL THEN refused WHEN t < waits[f + 1] THEN 'cooldown_active' END AS reason
+        FROM (SELECT e.*, r.waits, list_filter(r.admitted, lambda x: x >= e.t - 60000000) AS recent FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))))
+SELECT user_id, id, 'f' || f AS file, reason, coalesce(until, 0) AS until FROM r WHERE i > 0""", "jobs")
+def r11_admission_runtime(jobs):
+    """A user stands for a language; hours for seconds."""
+    t = jobs.select("user_id", F.timestamp_micros(F.expr("unix_micros(cast(ts as timestamp)) div 3600")).alias("ts"), F.col("event_id").alias("id"), F.concat(F.lit("f"), F.col("event_id") % 5).alias("file"), F.expr(_REFUSED).alias("refused"))
+    return folds.fold_table(t, "user_id", "ts", "id", folds.admission(3)).fillna(0, ["until"])
 
 
 @query("SELECT conv_id, round(CASE WHEN count(*) FILTER (WHERE role = 'user') = 0 THEN 0 ELSE count(*) FILTER (WHERE role = 'assistant') / count(*) FILTER (WHERE role = 'user') END, 6)::DOUBLE AS ratio, max(turn) AS last_turn FROM conversations GROUP BY 1", "conversations")
