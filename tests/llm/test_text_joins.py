@@ -280,6 +280,18 @@ def test_a_costly_rule_comes_last_and_is_not_evaluated(spark):
     assert got["_words"] == 7 and got["lines"].startswith(PROSE) and got["kept"] is True and "text" not in got
 
 
+def test_order_follows_what_the_rules_read(spark):
+    docs = frame(spark, [(i, f"{PROSE} {i}" if i % 4 else "x y", "") for i in range(800)])
+    orders = [[r.name for r in quality_rules.rule_order(docs, rows=400)] for _ in range(2)]
+    assert orders[0] == orders[1] and orders[0][0] == "few_words"
+    at = quality_rules.text_statistics(docs)[1]
+    rules = {r.name: r for r in quality_rules.RULES}
+    assert quality_rules.work(rules["symbols"], at) == "1" and quality_rules.work(rules["letters"], at) == f"1 + 2 * octet_length(`{at['text']}`)"
+    free = quality_rules.text_statistics(docs, ())[1]
+    assert quality_rules.work(rules["symbols"], free) == f"1 + 2 * octet_length(`{free['text']}`) + 2 * size(`{free['words']}`)"
+    assert [quality_rules.rule_order(frame(spark, []))[i].name for i in (0, -1)] == ["few_words", "bullets"]
+
+
 def test_helper_names_never_clash(spark):
     names = ("blob_id", "_blob_id", "mix_id", "mix_size", "mix_words", "mix_taken", "mix_times", "copy_rows", "copy_gone", "copy_at", "kept", "words", "lines", "row", "size", "src", "taken", "__text")
     docs = frame(spark, [(i, f"{PROSE} token{i} secret=abcdef{i}", "s") for i in range(5)]).select("doc_id", "text", "source", *(F.lit(x).alias(x) for x in names))
