@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
+from tessera.operators.percentiles import exact_percentiles
 
 
 def substring_scan(files: DataFrame, query: str, limit: int) -> DataFrame:
@@ -46,7 +50,10 @@ def pending_split(queue: DataFrame, now: Column) -> DataFrame:
 
 def pending_ages(queue: DataFrame, now: Column) -> DataFrame:
     age = F.greatest(F.lit(0), F.timestamp_diff("SECOND", F.col("created_at"), now))
-    return queue.where("status = 'PENDING'").withColumn("age", age).agg(F.max("age").alias("max_age"), F.count("*").alias("n"), F.expr("percentile_disc(0.95) within group (order by age)").cast("bigint").alias("p95_age"))
+    t = queue.where("status = 'PENDING'").select(age.alias("age"))
+    p95 = exact_percentiles(t, [], F.col("age"), {"p95": 0.95}, discrete=True).agg(F.max("p95").cast("bigint").alias("p95_age"))
+    # two tables of one row
+    return t.agg(F.max("age").alias("max_age"), F.count("*").alias("n")).crossJoin(F.broadcast(p95))
 
 
 def top_counts(df: DataFrame, key: Column, limit: int) -> DataFrame:
@@ -59,15 +66,20 @@ def acquire(queue: DataFrame, limit: int) -> DataFrame:
 
 
 def alert_window(jobs: DataFrame, since: Column) -> DataFrame:
-    w = jobs.where(F.col("ts") >= since).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "DEAD").alias("dead"), F.expr("percentile_disc(0.95) within group (order by latency_ms)").alias("p95"))
+    t = jobs.where(F.col("ts") >= since)
+    p95 = exact_percentiles(t, [], F.col("latency_ms"), {"p95": 0.95}, discrete=True).agg(F.max("p95").alias("p95"))
+    # two tables of one row
+    w = t.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "DEAD").alias("dead")).crossJoin(F.broadcast(p95))
     w = w.withColumn("dead_bps", C.basis_points(F.col("dead"), F.col("n")))
     return w.withColumn("state", F.when(F.col("dead_bps") > 1500, "critical").when(F.col("dead_bps") > 500, "warn").otherwise("ok"))
 
 
 def trace_summary(jobs: DataFrame, by: list[str]) -> DataFrame:
-    p = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    t = jobs.groupBy(*by).agg(F.count("*").alias("n"), F.sum("latency_ms").alias("total"), F.avg("latency_ms").alias("mean"), F.max("latency_ms").alias("longest"), p.alias("p"))
-    return t.select(*by, "n", F.round("total", 6).alias("total"), F.round("mean", 6).alias("mean"), "longest", F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p95"), F.round(F.col("p")[2], 6).alias("p99"))
+    t = jobs.groupBy(*by).agg(F.count("*").alias("n"), F.sum("latency_ms").alias("total"), F.avg("latency_ms").alias("mean"), F.max("latency_ms").alias("longest"))
+    p = exact_percentiles(jobs, by, F.col("latency_ms"), {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    p = p.select(*(F.col(x).alias(f"__{x}") for x in by), "p50", "p95", "p99")
+    t = t.join(p, reduce(operator.and_, (F.col(x).eqNullSafe(F.col(f"__{x}")) for x in by), F.lit(True)), "left")
+    return t.select(*by, "n", F.round("total", 6).alias("total"), F.round("mean", 6).alias("mean"), "longest", *(F.round(x, 6).alias(x) for x in ("p50", "p95", "p99")))
 
 
 def callers(edges: DataFrame, symbol: str, limit: int) -> DataFrame:
