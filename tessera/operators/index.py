@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import operator
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators.percentiles import exact_percentiles
+from tessera.operators.running import same
 
 
 def substring_scan(files: DataFrame, query: str, limit: int) -> DataFrame:
@@ -78,7 +76,7 @@ def trace_summary(jobs: DataFrame, by: list[str]) -> DataFrame:
     t = jobs.groupBy(*by).agg(F.count("*").alias("n"), F.sum("latency_ms").alias("total"), F.avg("latency_ms").alias("mean"), F.max("latency_ms").alias("longest"))
     p = exact_percentiles(jobs, by, F.col("latency_ms"), {"p50": 0.5, "p95": 0.95, "p99": 0.99})
     p = p.select(*(F.col(x).alias(f"__{x}") for x in by), "p50", "p95", "p99")
-    t = t.join(p, reduce(operator.and_, (F.col(x).eqNullSafe(F.col(f"__{x}")) for x in by), F.lit(True)), "left")
+    t = t.join(p, same(by, "__"), "left")
     return t.select(*by, "n", F.round("total", 6).alias("total"), F.round("mean", 6).alias("mean"), "longest", *(F.round(x, 6).alias(x) for x in ("p50", "p95", "p99")))
 
 
@@ -171,11 +169,6 @@ def round_robin(df: DataFrame, by: str, order: str) -> DataFrame:
     return t.orderBy("turn", "first")
 
 
-def trailing_count(jobs: DataFrame, by: str, seconds: int) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-seconds, 0)
-    return jobs.select("event_id", by, F.count("*").over(w).alias("n"))
-
-
 def hotness(jobs: DataFrame, by: str, seconds: int, weights: dict[str, float]) -> DataFrame:
     weight = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("event_type")), F.lit(1.0))
     w = Window.partitionBy(by).orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-seconds, 0)

@@ -54,12 +54,6 @@ def admission(requests: DataFrame, total_most: float, batch_most: float, reserve
     return requests.withColumn("refused", verdict)
 
 
-def running_rate(events: DataFrame, by: list[str], at: str, seconds: int, name: str) -> DataFrame:
-    """Events of the same key within the seconds up to each."""
-    w = Window.partitionBy(*by).orderBy(F.unix_seconds(F.col(at).cast("timestamp"))).rangeBetween(-seconds, 0)
-    return events.withColumn(name, F.count("*").over(w))
-
-
 def language_cooldown(refusals: DataFrame, by: str, at: str, seconds: Column) -> DataFrame:
     """Until when each refusal keeps its language waiting: waits add up from the end of the one before, if it lasts still.
     That end is the greatest of (a refusal's time + all waits from it on), so running sums and a running maximum tell it."""

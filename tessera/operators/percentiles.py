@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import operator
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.running import same
+
 #: Bins for each doubling of a value; a bin's values differ by 0.3 % at most.
 BINS = 256
 
@@ -41,9 +40,8 @@ def exact_percentiles(df: DataFrame, by: list[str], value: Column, fractions: di
     ranks = F.array_distinct(F.array(*(f(p) for p in fractions.values() for f in (low, high))))
     begin = F.col("__end") - F.col("__n")
     aims = bins.withColumn("__ranks", F.filter(ranks, lambda r: (r > begin) & (r <= F.col("__end")))).where(F.size("__ranks") > 0)
-    aims = aims.select(*(F.col(x).alias(f"__by{i}") for i, x in enumerate(by)), F.col("__bin").alias("__aim"), begin.alias("__begin"), "__total", "__ranks")
-    same = reduce(operator.and_, (F.col(x).eqNullSafe(F.col(f"__by{i}")) for i, x in enumerate(by)), F.col("__bin") == F.col("__aim"))
-    near = t.join(aims, same).groupBy(*by, "__bin", "__v").agg(F.count("*").alias("__n"), *(F.first(x).alias(x) for x in ("__begin", "__total", "__ranks")))
+    aims = aims.select(*(F.col(x).alias(f"__k_{x}") for x in (*by, "__bin")), begin.alias("__begin"), "__total", "__ranks")
+    near = t.join(aims, same([*by, "__bin"], "__k_")).groupBy(*by, "__bin", "__v").agg(F.count("*").alias("__n"), *(F.first(x).alias(x) for x in ("__begin", "__total", "__ranks")))
     end = F.sum("__n").over(Window.partitionBy(*by, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("__begin")
     near = near.withColumn("__end", end)
     near = near.select(*by, "__total", "__v", F.explode(F.filter("__ranks", lambda r: (r > F.col("__end") - F.col("__n")) & (r <= F.col("__end")))).alias("__rank"))

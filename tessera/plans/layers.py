@@ -10,6 +10,7 @@ from tessera.operators import layers as Y
 from tessera.operators import lifecycle as L
 from tessera.operators import merge as M
 from tessera.operators import search as S
+from tessera.operators.running import trailing_count
 from tessera.plans.registry import query
 
 _ON = "f.repo_root = {0}.repo_root AND f.relative_path = {0}.relative_path AND f.content_hash = {0}.content_hash"
@@ -213,7 +214,7 @@ def q16_l4_confidence(files):
 WHEN user_id % 13 = 0 THEN 'cooldown_active' WHEN user_id % 2 = 0 AND total >= 0.95 * 3 AND batch <= 0.1 * 20 THEN 'starvation_guard_call_reserve' WHEN total > 3 THEN 'pressure_rate_exceeded' WHEN user_id % 2 = 1 AND batch > 20 THEN 'pressure_rate_exceeded' END AS refused
 FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS total, count(*) OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS batch FROM jobs)""", "jobs")
 def r10_admission(jobs):
-    t = Y.running_rate(Y.running_rate(jobs, ["user_id"], "ts", 86400, "total_rate"), ["user_id", "event_type"], "ts", 86400, "batch_rate")
+    t = trailing_count(trailing_count(jobs, ["user_id"], "ts", 86400, "total_rate"), ["user_id", "event_type"], "ts", 86400, "batch_rate")
     batch = F.col("user_id") % 2 == 1
     t = t.withColumns({"reason": F.when(F.col("event_type") != "signup", F.col("event_type")), "enabled": F.col("user_id") % 11 != 0, "allowed": batch | (F.col("event_type") != "error"), "known": F.col("user_id") % 7 != 0, "mode": F.when(batch, "batch").otherwise("interactive"), "cooling": F.col("user_id") % 13 == 0})
     return Y.admission(t, 3, 20).select("event_id", "refused")

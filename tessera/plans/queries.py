@@ -11,6 +11,8 @@ from tessera.functions import columns as C
 from tessera.operators import index as I
 from tessera.operators import lifecycle as L
 from tessera.operators import search as S
+from tessera.operators.percentiles import exact_percentiles
+from tessera.operators.running import same, trailing_count
 from tessera.plans import layers, lifecycle, maintenance, source_code  # noqa: F401 (register their queries)
 from tessera.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from tessera.sources.shared import shared_dir
@@ -176,7 +178,9 @@ def g28_trace_percentiles(jobs):
 
 @query("SELECT event_type, round(median(latency_ms), 6) AS median_ms, round(avg(CASE WHEN status = 'DONE' THEN 1.0 ELSE 0.0 END), 6) AS success FROM jobs GROUP BY 1", "jobs")
 def g29_medians(jobs):
-    return jobs.groupBy("event_type").agg(F.round(F.median("latency_ms"), 6).alias("median_ms"), F.round(F.avg(F.when(F.col("status") == "DONE", 1.0).otherwise(0.0)), 6).alias("success"))
+    p = exact_percentiles(jobs, ["event_type"], F.col("latency_ms"), {"p": 0.5}).select(F.col("event_type").alias("__event_type"), "p")
+    t = jobs.groupBy("event_type").agg(F.avg(F.when(F.col("status") == "DONE", 1.0).otherwise(0.0)).alias("success"))
+    return t.join(p, same(["event_type"], "__"), "left").select("event_type", F.round("p", 6).alias("median_ms"), F.round("success", 6).alias("success"))
 
 
 @query("SELECT count(*) AS relations, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM symbols s WHERE s.symbol_key = e.to_symbol AND s.relative_path = e.relative_path)) AS orphans FROM edges e", "edges", "symbols")
@@ -228,7 +232,7 @@ def n07_round_robin(files):
 
 @query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM jobs", "jobs")
 def n10_trailing_count(jobs):
-    return I.trailing_count(jobs, "user_id", 3600)
+    return trailing_count(jobs.select("event_id", "user_id", "ts"), ["user_id"], "ts", 3600, "n").drop("ts")
 
 
 @query("SELECT event_id, user_id, round(sum(CASE event_type WHEN 'signup' THEN 1.25 WHEN 'purchase' THEN 1.5 ELSE 1.0 END) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW), 6)::DOUBLE AS hotness FROM jobs", "jobs")
