@@ -193,9 +193,9 @@ class ImpactIndex:
     def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ImpactIndex:
         kind = docs.schema[id_col].dataType.simpleString()
         rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        counts = materialize(rows.mapInArrow(_count, _COUNTS.format(kind)), "counts")
+        counts = materialize(rows.mapInArrow(_count, _COUNTS.format(kind)), "counts", wide=True)
         n_docs, n_tokens = (x or 0 for x in counts.agg(F.sum("n_docs"), F.sum("n_tokens")).first())
-        shards = materialize(counts.drop("n_docs", "n_tokens").mapInArrow(_impacts(n_docs, n_tokens), _SHARD.format(kind)), "impacts")
+        shards = materialize(counts.drop("n_docs", "n_tokens").mapInArrow(_impacts(n_docs, n_tokens), _SHARD.format(kind)), "impacts", wide=True)
         discard(counts)
         return ImpactIndex(shards, n_docs, kind)
 

@@ -206,3 +206,17 @@ def test_bounds_hold_the_score_and_leave_few_candidates():
     score = q @ x.T
     assert (low <= score).all() and (score <= high).all()
     assert np.mean(high - low) < 0.2 * np.mean(np.linalg.norm(q, axis=1)) * np.mean(np.linalg.norm(x, axis=1))
+
+
+def test_a_task_holds_one_shard_at_a_time(spark):
+    """Shards take megabytes; Parquet would put up to a hundred into one row group, which readers and writers hold at once."""
+    import pyarrow.parquet as pq
+
+    from tessera.llm.lexical_search import ImpactIndex
+
+    docs = spark.range(1600).coalesce(1).selectExpr("id AS doc_id", "array_join(transform(sequence(0, 999), x -> hex(xxhash64(id, x))), ' ') AS text")
+    shards = ImpactIndex.build(docs).shards
+    found = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in shards.inputFiles()]
+    sizes = [(m.row_group(i).num_rows, sum(m.row_group(i).column(c).total_compressed_size for c in range(m.num_columns))) for m in found for i in range(m.num_row_groups)]
+    assert sum(n for n, _ in sizes) == shards.count() == 4
+    assert len(sizes) > 1 and all(n == 1 or size < 16 << 20 for n, size in sizes)
